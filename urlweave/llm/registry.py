@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op1_byte_bpe
 from .exact_dedup import OP9_SQL, op9_exact_mph
 from .line_dedup import op4_line_winnow
+from .maxent_lm import op10_maxent_lm
 from .mixture import op7_mixture
 from .near_dedup import OP6_SQL, op6_odd_minhash
 from .order_minhash import op3_order_minhash
@@ -16,7 +17,7 @@ from .url_rules import OP8_SQL, op8_url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op3_order_minhash": op3_order_minhash, "op4_line_winnow": op4_line_winnow, "op6_odd_minhash": op6_odd_minhash, "op7_mixture": op7_mixture, "op8_url_rules": op8_url_rules, "op9_exact_mph": op9_exact_mph}
+    return {"op1_byte_bpe": op1_byte_bpe, "op10_maxent_lm": op10_maxent_lm, "op3_order_minhash": op3_order_minhash, "op4_line_winnow": op4_line_winnow, "op6_odd_minhash": op6_odd_minhash, "op7_mixture": op7_mixture, "op8_url_rules": op8_url_rules, "op9_exact_mph": op9_exact_mph}
 
 
 def oracle_sql() -> dict[str, str]:
