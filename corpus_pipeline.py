@@ -1,15 +1,68 @@
-"""A corpus from ``documents``: the stages, each a function (spark, docs, sf_dir) to a DataFrame."""
+"""A training corpus from ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
+columns of ``documents``. ``run`` writes what a stage returns to the shared folder before the next one reads it.
+
+Rows that a stage drops: those that the quality classifier rejects; those whose words all went as repeated lines; all
+but the document with the smallest id of each near-duplicate class (rows that repeat id and text are one); those that
+the mixture takes no words of. Null texts count as empty throughout; an empty table passes as an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from urlweave.llm.bpe import decode, default_vocabulary, encode
+from urlweave.llm.common import WORD, ship, stage, table
+from urlweave.llm.line_dedup import dedup_lines
+from urlweave.llm.mixture import mix_documents
+from urlweave.llm.near_dedup import near_duplicates
+from urlweave.llm.quality_crf import in_training, score_quality, train
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels' training part, does not reject."""
+    ship(spark)
+    field = train(docs, table(spark, sf_dir, "labels").where(in_training()))
+    return score_quality(docs, field).where("score >= 0.5").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the runs of lines that an earlier document has."""
+    cleaned = dedup_lines(docs)
+    return cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    told = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return told.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix to target weights takes them, copies included."""
+    return mix_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids, and whether they decode to the text."""
+    path, pattern = default_vocabulary()
+    told = decode(encode(docs, path, pattern), path)
+    return told.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near), ("mixture", mixture), ("byte_bpe", tokens)]
 
-STAGES: list = []
+#: SQL can't express the classifier or the mixture's draws; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, f) in enumerate(STAGES):
+        docs = f(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage(docs, f"stage_{name}")
     return docs
