@@ -1,4 +1,7 @@
-"""The queries over the driver's tables and the SQL that each is held against."""
+"""The queries over the driver's tables and the SQL that each is held against.
+
+The tables' own URLs are plain, so several queries put harder ones together from columns.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +10,166 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codec as C
+from ..functions.urls import Url, normalize_path
+from ..operators import links
+from ..session import ship
+
+U = Url("u")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.with_url(_table(spark, sf_dir, "pages").select("page_id", "url"))
+
 
 def hosts_by_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and the share of https by host."""
-    host = F.regexp_extract("url", r"^[A-Za-z0-9+.\-]+://([^/?#]*)", 1)
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.groupBy(F.lower(host).alias("host")).agg(F.count("*").alias("n_pages"), F.avg(F.col("url").startswith("https").cast("double")).alias("https_share"))
+    return links.host_rollup(_pages(spark, sf_dir))
+
+
+def host_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.ranked_hosts(_pages(spark, sf_dir))
+
+
+def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and linking pages by target host."""
+    return links.link_graph(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every page, resolved."""
+    found = links.page_links(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "href", Url("target").raw_host.alias("host"), C.UNQUOTER(Url("target").raw_path).alias("path"))
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of every page's URL."""
+    return _pages(spark, sf_dir).select("page_id", U.scheme.alias("scheme"), U.host.alias("host"), U.explicit_port.alias("explicit_port"), U.port.alias("port"), U.path.alias("path"), U.query_string.alias("query_string"), U.fragment.alias("fragment"), U.absolute.alias("is_absolute"), U.is_default_port.alias("is_default_port"))
+
+
+def url_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path segments, names and suffixes."""
+    return _pages(spark, sf_dir).select("page_id", F.size(U.parts).alias("n_parts"), U.name.alias("name"), U.suffix.alias("suffix"), U.parent.text.alias("parent"), U.origin.text.alias("origin"), U.relative.text.alias("relative"))
+
+
+def url_query_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query parameter."""
+    return links.query_parameters(_pages(spark, sf_dir), "u", "page_id")
+
+
+def url_query_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries without a parameter, with one more, with one replaced, and new."""
+    return _pages(spark, sf_dir).select("page_id", U.without_query_params("utm_source", "ref").raw_query_string.alias("without"), U.extend_query(id=F.col("page_id")).raw_query_string.alias("extended"), U.update_query({"page": "0"}).raw_query_string.alias("updated"), U.with_query({"a": [1, 2], "b": "x y"}).raw_query_string.alias("replaced"))
+
+
+def distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct URLs by host once query and fragment are gone; "" and "/" are one path."""
+    bare = _pages(spark, sf_dir).withColumn("u", U.with_query(None).with_fragment(None).col)
+    return links.distinct_urls(bare).groupBy(U.raw_host.alias("host")).agg(F.count("*").alias("n_urls"))
+
+
+def url_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs rendered again, for machines and for people."""
+    return _pages(spark, sf_dir).select("page_id", U.text.alias("text"), U.human_repr.alias("human"), U.repr.alias("repr"))
+
+
+def _harder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    url = F.concat(F.lit("HTTP://U%20ser:p%40@Shop"), F.col("c_custkey"), F.lit(".Example.COM:80/a/./b/../"), F.replace("c_name", F.lit("#"), F.lit("%23")), F.lit("/x y?q="), F.col("c_mktsegment"), F.lit("&r=%2b%20+#f%41 g"))
+    return links.with_url(customers.withColumn("url", url))
+
+
+def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs that need every step of canonicalising."""
+    return _harder(spark, sf_dir).select("c_custkey", U.text.alias("text"), U.user.alias("user_name"), U.password.alias("secret"), U.raw_authority.alias("raw_authority"), U.query_get("r").alias("r"))
+
+
+def authority_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemes, users, hosts, ports and fragments replaced."""
+    d = _harder(spark, sf_dir)
+    return d.select("c_custkey", U.with_scheme("https").raw_authority.alias("secure"), U.with_user(F.lower("c_mktsegment")).with_port(8080).raw_authority.alias("other"), U.with_user(None).raw_authority.alias("anonymous"), U.with_host(F.concat(F.lit("H"), F.col("c_custkey"))).raw_authority.alias("moved"), U.with_fragment(None).raw_fragment.alias("no_fragment"))
+
+
+def path_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths extended and replaced."""
+    u = U
+    d = _harder(spark, sf_dir)
+    return d.select("c_custkey", (u / "z z").raw_path.alias("child"), u.joinpath("..", "up").raw_path.alias("sibling"), u.with_name("n.txt").raw_path.alias("named"), u.with_name("n.txt").with_suffix(".md").raw_path.alias("suffixed"), u.with_path("p/../q").raw_path.alias("pathed"))
+
+
+def built_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs put together from columns."""
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    made = Url.build(scheme="https", host="parts.example", port=F.col("p_size") + 8000, path=F.concat(F.lit("/"), F.col("p_name")), query={"key": F.col("p_partkey"), "n": F.col("p_name")})
+    return parts.select("p_partkey", made.col.alias("u")).select("p_partkey", U.text.alias("text"))
+
+
+def quoted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts percent-encoded, and decoded again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("quoted", C.QUOTER(F.col("text")))
+    return docs.select("doc_id", F.sha2("quoted", 256).alias("quoted_sha256"), C.UNQUOTER(F.col("quoted")).eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def folded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot segments folded."""
+    path = F.concat(F.lit("/"), F.col("n_name"), F.lit("/../"), F.col("n_regionkey"), F.lit("/./x/../../../"), F.col("n_nationkey"), F.lit("/."))
+    return _table(spark, sf_dir, "nation").select("n_nationkey", normalize_path(path).alias("path"))
+
+
+def url_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why strings are no URLs."""
+    nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    tail = F.element_at(F.array(*map(F.lit, ["h:99999/", "h:x/", ":80/", "[::1]evil/", "ok.example/"])), F.col("n_regionkey") + 1)
+    url = F.concat(F.lit("http://"), tail, F.col("n_nationkey"))
+    return nations.select("n_nationkey", url.alias("url")).select("n_nationkey", Url.error("url").alias("error"), Url.is_valid("url").alias("is_valid"))
+
+
+def international_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts that leave the JVM: IDNA, IPv6 and zones."""
+    nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    host = F.element_at(F.array(*map(F.lit, ["bücher.example", "пример.рф", "[2001:DB8:0:0::1]", "[fe80::1%25eth0]", "faß.de"])), F.col("n_regionkey") + 1)
+    d = links.with_url(nations.withColumn("url", F.concat(F.lit("http://"), host, F.lit("/"), F.col("n_nationkey"))))
+    return d.select("n_nationkey", U.raw_host.alias("raw_host"), U.host.alias("host"), U.host_subcomponent.alias("host_subcomponent"), U.human_repr.alias("human"))
+
+
+FLAGSHIP = link_graph
 
+_CUT = r"regexp_extract(url, '^([A-Za-z0-9+.\-]+)://([^/?#]*)([^?#]*)(\?([^#]*))?(#(.*))?$', {})"
+_SCHEME, _HOST, _PATH, _QUERY, _FRAGMENT = (_CUT.format(k) for k in (1, 2, 3, 5, 7))
+_P = f"SELECT page_id, lower({_SCHEME}) AS scheme, lower({_HOST}) AS host, {_PATH} AS raw, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS path, {_QUERY} AS query, {_FRAGMENT} AS fragment, url FROM pages"
+_SEGMENT = "CASE WHEN c_mktsegment IS NULL THEN NULL ELSE replace(c_mktsegment, ' ', '+') END"
+_NAME = "replace(replace(c_name, '#', '%23'), ' ', '%20')"
 
-FLAGSHIP = hosts_by_pages
+ORACLES = {
+    "hosts_by_pages": f"WITH p AS ({_P}) SELECT host, count(*) AS n_pages, avg(CASE WHEN scheme = 'https' THEN 1.0 ELSE 0.0 END)::DOUBLE AS https_share FROM p GROUP BY 1",
+    "host_ranks": f"WITH p AS ({_P}), c AS (SELECT host, count(*) AS n_pages FROM p GROUP BY 1) SELECT host, n_pages, rank() OVER (ORDER BY n_pages DESC)::INTEGER AS rank FROM c",
+    "resolved_links": f"WITH p AS (SELECT x.*, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM ({_P}) x JOIN pages USING (page_id)) SELECT page_id, href, host, CASE WHEN starts_with(href, '/') THEN href END AS path FROM p",
+    "link_graph": f"WITH p AS (SELECT x.*, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM ({_P}) x JOIN pages USING (page_id)) SELECT host, count(*) AS in_links, count(DISTINCT page_id) AS in_pages FROM p GROUP BY 1",
+    "url_parts": f"WITH p AS ({_P}) SELECT page_id, scheme, host, NULL::INTEGER AS explicit_port, CASE scheme WHEN 'http' THEN 80 WHEN 'https' THEN 443 END AS port, path, query AS query_string, fragment, TRUE AS is_absolute, TRUE AS is_default_port FROM p",
+    "url_names": f"WITH p AS ({_P}), n AS (SELECT *, string_split(substr(path, 2), '/') AS parts FROM p), m AS (SELECT *, parts[len(parts)] AS name FROM n) SELECT page_id, len(parts) + 1 AS n_parts, name, regexp_extract(name, '^.+(\\.[^.]+)$', 1) AS suffix, scheme || '://' || host || CASE WHEN raw IN ('', '/') THEN raw ELSE regexp_replace(raw, '/[^/]*$', '') END AS parent, scheme || '://' || host AS origin, raw || CASE WHEN query <> '' THEN '?' || query ELSE '' END || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END AS relative FROM m",
+    "url_query_pairs": f"WITH p AS ({_P}), e AS (SELECT page_id, string_split(query, '&') AS q FROM p WHERE query <> ''), r AS (SELECT page_id, unnest(q) AS kv, generate_subscripts(q, 1) - 1 AS position FROM e) SELECT page_id, position::INTEGER AS position, split_part(kv, '=', 1) AS key, split_part(kv, '=', 2) AS value FROM r",
+    "url_query_edits": f"WITH p AS ({_P}), e AS (SELECT page_id, query, CASE WHEN query = '' THEN [] ELSE string_split(query, '&') END AS q FROM p) SELECT page_id, array_to_string(list_filter(q, lambda x: split_part(x, '=', 1) NOT IN ('utm_source', 'ref')), '&') AS without, CASE WHEN query = '' THEN '' ELSE query || '&' END || 'id=' || page_id AS extended, CASE WHEN len(list_filter(q, lambda x: split_part(x, '=', 1) = 'page')) > 0 THEN array_to_string(list_transform(q, lambda x: CASE WHEN split_part(x, '=', 1) = 'page' THEN 'page=0' ELSE x END), '&') ELSE CASE WHEN query = '' THEN '' ELSE query || '&' END || 'page=0' END AS updated, 'a=1&a=2&b=x+y' AS replaced FROM e",
+    "distinct_urls": f"WITH p AS ({_P}) SELECT host, count(DISTINCT scheme || path) AS n_urls FROM p GROUP BY 1",
+    "url_text": f"WITH p AS (SELECT *, scheme || '://' || host || CASE WHEN raw = '' AND (query <> '' OR fragment <> '') THEN '/' ELSE raw END AS a, CASE WHEN query <> '' THEN '?' || query ELSE '' END || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END AS b FROM ({_P})) SELECT page_id, a || b AS text, scheme || '://' || host || path || b AS human, 'URL(''' || a || b || ''')' AS repr FROM p",
+    "canonical_urls": f"SELECT c_custkey, 'http://U%20ser:p%40@shop' || c_custkey || '.example.com/a/' || {_NAME} || '/x%20y?q=' || {_SEGMENT} || '&r=%2B%20+#fA%20g' AS text, 'U ser' AS user_name, 'p@' AS secret, 'U%20ser:p%40@shop' || c_custkey || '.example.com:80' AS raw_authority, '+  ' AS r FROM customer",
+    "authority_edits": "SELECT c_custkey, 'U%20ser:p%40@shop' || c_custkey || '.example.com:80' AS secure, lower(c_mktsegment) || ':p%40@shop' || c_custkey || '.example.com:8080' AS other, 'shop' || c_custkey || '.example.com:80' AS anonymous, 'U%20ser:p%40@h' || c_custkey || ':80' AS moved, '' AS no_fragment FROM customer",
+    "path_edits": f"SELECT c_custkey, '/a/' || {_NAME} || '/x%20y/z%20z' AS child, '/a/' || {_NAME} || '/up' AS sibling, '/a/' || {_NAME} || '/n.txt' AS named, '/a/' || {_NAME} || '/n.md' AS suffixed, '/q' AS pathed FROM customer",
+    "built_urls": "SELECT p_partkey, 'https://parts.example:' || (p_size + 8000) || '/' || replace(replace(p_name, '#', '%23'), ' ', '%20') || '?key=' || p_partkey || '&n=' || replace(replace(p_name, '#', '%23'), ' ', '+') AS text FROM part",
+    "quoted_texts": "SELECT doc_id, sha256(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(url_encode(text), '%21', '!'), '%24', '$'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*'), '%2C', ','), '%2B', '+'), '%26', '&'), '%3D', '='), '%3B', ';')) AS quoted_sha256, TRUE AS round_trip FROM documents",
+    "folded_paths": "SELECT n_nationkey, '/' || n_nationkey || '/' AS path FROM nation",
+    "url_errors": "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'PORT_RANGE' WHEN 1 THEN 'BAD_PORT' WHEN 2 THEN 'HOST_REQUIRED' WHEN 3 THEN 'INVALID_IPV6' END AS error, n_regionkey = 4 AS is_valid FROM nation",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"hosts_by_pages": hosts_by_pages}
+    found = [hosts_by_pages, host_ranks, resolved_links, link_graph, url_parts, url_names, url_query_pairs, url_query_edits, distinct_urls, url_text, canonical_urls, authority_edits, path_edits, built_urls, quoted_texts, folded_paths, url_errors, international_hosts]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"hosts_by_pages": r"SELECT lower(regexp_extract(url, '^[A-Za-z0-9+.\-]+://([^/?#]*)', 1)) AS host, count(*) AS n_pages, avg(CASE WHEN starts_with(url, 'https') THEN 1.0 ELSE 0.0 END)::DOUBLE AS https_share FROM pages GROUP BY 1"}
+    return dict(ORACLES)
