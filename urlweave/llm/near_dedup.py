@@ -9,8 +9,9 @@ five words (the whole sequence if it has fewer, nothing if it has none). Two doc
    Equal sets are one node from here on. A pair at the threshold shares no band with probability
    (1 - 0.75^3)^32 = 2.4e-8, and the chance falls with similarity.
 2. Star rounds: each node of a bucket is compared with the bucket's pivot unless both are in one component
-   already; of a node's pivots the one with the best sketch is confirmed. So a group of g near copies costs
-   about g confirmations, not g^2.
+   already; of a node's pivots the one with the best sketch is confirmed. A bucket's pivot is its first node in
+   one random order of all nodes, so the many buckets of a dense group share few pivots, and a group of g near
+   copies costs about g confirmations, not g^2.
 3. The rest, exactly: in the buckets that still mix components, every pair of different components whose sizes
    allow the threshold and whose sketches don't rule it out (parity bits as for a similarity under 0.5, over six
    standard deviations off) is confirmed on the full sets.
@@ -199,7 +200,7 @@ class Graph:
         self.rows = stage(self.docs.mapInArrow(_signed, "doc_id bigint, n bigint, digest binary, bands array<bigint>, sketch array<bigint>"), "signed")
         sets = self.rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("min_doc"), F.first("doc_id").alias("some_doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         self.nodes = stage(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
-        buckets = self.nodes.select("node", "n", F.explode("bands").alias("key"))
+        buckets = self.nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
         shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
         self.shared = stage(buckets.join(shared, "key"), "shared")
         self.edges: DataFrame | None = None
@@ -229,7 +230,7 @@ class Graph:
 
     def star(self, turn: int) -> None:
         members = self.members()
-        pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("rank"), "node", "root", "n")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "root", "n")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         pairs = members.join(pivots, "key").where(F.col("root") != F.col("p.root")).where(_sizes_allow(F.col("n"), F.col("p.n"))).select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
         best = self._sketched(pairs).where(F.col("differ") <= SKETCH_DIFFER).groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
         self.link(best)
@@ -239,12 +240,14 @@ class Graph:
         return pairs.join(known.toDF("a", "sa"), "a").join(known.toDF("b", "sb"), "b").select("a", "b", _differ("sa", "sb").alias("differ"))
 
     def rest(self) -> None:
-        members = self.members().join(self.nodes.select("node", "sketch"), "node")
+        members = self.members().join(self.nodes.select("node", "sketch", "bands"), "node")
         sizes = self.members().groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
         mixed = stage(members.join(sizes, "key"), "mixed")
-        few = mixed.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        other = mixed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), (F.col("root") == F.col("main")).alias("in_main"))
-        pairs = few.join(other, "key").where((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _sizes_allow(F.col("na"), F.col("nb")) & (_differ("sa", "sb") <= SKETCH_DIFFER))
+        few = mixed.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"), "band", F.col("bands").alias("ba"))
+        other = mixed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"), (F.col("root") == F.col("main")).alias("in_main"))
+        # A pair counts in the first band that it shares, not again in the others.
+        first = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("band") + 1
+        pairs = few.join(other, "key").where((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _sizes_allow(F.col("na"), F.col("nb")) & (_differ("sa", "sb") <= SKETCH_DIFFER) & first)
         self.link(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def classes(self) -> DataFrame:
