@@ -82,7 +82,7 @@ def test_sketch_estimates_similarity():
         if share >= 0.75:
             assert max(bits) <= N.SKETCH_DIFFER
     assert seen[0.9] < seen[0.75] < seen[0.5]
-    assert abs(seen[0.75] - 256 * (1 - np.exp(-64 * 2 / 512 * 1.0))) < 12
+    assert abs(seen[0.75] - N.SKETCH_BITS / 2 * (1 - np.exp(-N.SAMPLES / N.SKETCH_BITS))) < 12
 
 
 def test_components_of_long_chains(spark):

@@ -4,17 +4,17 @@ Words are what white space leaves of the text with A-Z lowered; a document's set
 five words (the whole sequence if it has fewer, nothing if it has none). Two documents are linked if
 100 * intersection >= 75 * union; a document's class is its connected component.
 
-1. One pass over the texts gives each document the size and the digest of its set, 128 MinHash samples as 32 band
-   keys of three samples each, and their odd sketch: a bitmap of 512 bits in which every sample flips one bit.
+1. One pass over the texts gives each document the size and the digest of its set, 384 MinHash samples, of which 96
+   make 32 band keys of three, and the odd sketch of all: a bitmap of 1024 bits in which every sample flips one.
    Equal sets are one node from here on. A pair at the threshold shares no band with probability
    (1 - 0.75^3)^32 = 2.4e-8, and the chance falls with similarity.
 2. Star rounds: each node of a bucket is compared with the bucket's pivot unless both are in one component
    already; of a node's pivots the one with the best sketch is confirmed. A bucket's pivot is its first node in
-   one random order of all nodes, so the many buckets of a dense group share few pivots, and a group of g near
-   copies costs about g confirmations, not g^2.
+   one order of all nodes: in the first round by how many members the node meets in its buckets (the text that a
+   family was copied from is like all of them, while they may not be like each other), then a random one. So the many
+   buckets of a group share few pivots, and a group of g near copies costs about g confirmations, not g^2.
 3. The rest, exactly: in the buckets that still mix components, every pair of different components whose sizes
-   allow the threshold and whose sketches don't rule it out (parity bits as for a similarity under 0.5, over six
-   standard deviations off) is confirmed on the full sets.
+   allow the threshold and whose sketches don't rule it out (parity bits as for a similarity under 0.58) is confirmed on the full sets.
 
 Links are confirmed on full sets of 64-bit shingle hashes, made again from the texts of just the documents that
 are in a pair; those are fetched through a bitmap of at most ``BITMAP_WORDS`` words, the only thing that is
@@ -40,12 +40,13 @@ from .common import ship, stage, table
 SHINGLE = 5
 PERCENT = 75
 
-SAMPLES = 128
+SAMPLES = 384
 BANDS, ROWS = 32, 3
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 
-#: Parity bits that differ at most: expected for a similarity of one half, 256 * (1 - exp(-1/2)).
-SKETCH_DIFFER = 100
+#: Parity bits that differ at most: what a similarity of 0.58 makes them on average. At 0.75 their mean is 160 and their
+#: standard deviation 16.5, so that a link passes but for a chance of about 1e-6.
+SKETCH_DIFFER = 239
 
 STAR_ROUNDS = 2
 
@@ -201,8 +202,10 @@ class Graph:
         sets = self.rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("min_doc"), F.first("doc_id").alias("some_doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         self.nodes = stage(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
         buckets = self.nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-        shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-        self.shared = stage(buckets.join(shared, "key"), "shared")
+        shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        met = stage(buckets.join(shared, "key"), "met")
+        degree = met.groupBy("node").agg(F.sum("members").alias("degree"))
+        self.shared = stage(met.drop("members").join(degree, "node"), "shared")
         self.edges: DataFrame | None = None
         self.roots: DataFrame | None = None
 
@@ -230,7 +233,10 @@ class Graph:
 
     def star(self, turn: int) -> None:
         members = self.members()
-        pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "root", "n")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        rank = [F.xxhash64("node", F.lit(turn)).alias("rank")]
+        if turn == 0:
+            rank = [(-F.col("degree")).alias("degree"), *rank]
+        pivots = members.groupBy("key").agg(F.min(F.struct(*rank, "node", "root", "n")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         pairs = members.join(pivots, "key").where(F.col("root") != F.col("p.root")).where(_sizes_allow(F.col("n"), F.col("p.n"))).select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
         best = self._sketched(pairs).where(F.col("differ") <= SKETCH_DIFFER).groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
         self.link(best)
