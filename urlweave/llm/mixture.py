@@ -34,7 +34,7 @@ MAX_EPOCHS = 3
 SEED = 20240607
 
 #: Rows of a bucket, on average: what one task orders at a time.
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 2048
 
 #: Slots that one generated row makes at most.
 CHUNK = 1 << 14
@@ -122,7 +122,7 @@ class Mix:
     def slots(self) -> DataFrame:
         """A row for each slot of the mix: shard, place, source_at, epoch, block."""
         chunks = self.sources.where("slots > 0").select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk"))
-        spread = chunks.repartition("source_at", "chunk")
+        spread = chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_at", "chunk")
         each = spread.select("*", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(slots, (chunk + 1) * {CHUNK}) - 1)")).alias("j"))
         place = permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), self.seed, 0)
         epoch = F.expr("j div blocks")
@@ -131,7 +131,8 @@ class Mix:
 
     def mixed(self) -> DataFrame:
         """The mix: every slot with the segments of its block."""
-        return self.slots().join(self.blocks(), ["source_at", "block"])
+        # The planner can't see how many slots a chunk makes and would broadcast them.
+        return self.slots().hint("merge").join(self.blocks(), ["source_at", "block"])
 
     def taken(self) -> DataFrame:
         """rid, and the words that the mix takes of that row, repeats counted."""
