@@ -67,3 +67,15 @@ def test_empty_and_nothing_to_learn_from(spark):
     (r,) = M.score_documents(one).collect()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0)
     assert math.isfinite(r["score"])
+
+
+def test_tokens_and_classes_as_arrays(spark):
+    texts = ["The cat  sat\n", "", None, "\x00 a\x0bB\u00a0c ab", "x" * 3000 + " the cat", " "]
+    got = M.Tokens(texts)
+    want = [w for t in texts for w in M.tokens_of(t)]
+    assert [got.word(k) for k in range(len(got.hash))] == want
+    assert got.starts.tolist() == [0, 4, 5, 6, 11, 15]
+    assert len(set(got.hash.tolist())) == len(set(want))
+    assert M.hashes(want).tolist() == got.hash.tolist()
+    d = spark.createDataFrame([(bytearray(w),) for w in want], "word binary")
+    assert [r[0] for r in d.select(M.class_column(F.col("word"))).collect()] == got.cls.tolist()

@@ -1,15 +1,16 @@
 """A hashed maximum-entropy language model: n-gram and skip features, class-factored softmax.
 
 P(word | history) = P(class | history) * P(word | class). Classes: the HEAD most frequent tokens one each, all other
-words by the checksum of their last three bytes. The first factor is a softmax over the classes with a bias and four
+words by a hash of their last three bytes. The first factor is a softmax over the classes with a bias and four
 features for each token: the hashed previous word, the n-gram of the two previous words' classes, and two skip
 features, the classes of the third and fourth and of the fifth and sixth word back. The second is the class's own maximum-entropy distribution over its words with the word's count as its only feature:
 (count + 1) / (tokens + words + 1), one outcome being any unknown word of the class. So all outcomes sum to 1.
 
-Training starts at each feature's smoothed log odds and then takes ``PASSES`` gradient steps. In a step every task
-works out the gradient on its documents (observed minus expected counts of each feature with each class) in numpy
-batches; blocks of it are summed by a shuffle, and the driver applies the step, scaled for each weight by what
-it expects. The model is a table of fixed size (``FEATURES`` x ``CLASSES``), the only thing broadcast besides
+Training takes distributed gradient steps. In each, every task works out the gradient on its documents (observed minus
+expected counts of each feature with each class) in numpy batches; blocks of it are summed by a shuffle, and the driver
+applies the step, scaled for each weight by what it expects. At weights of zero the expected counts are known without
+a softmax, so the first step gathers observed counts only and goes along the log of their ratio to the expected;
+``PASSES`` further steps go along the gradient itself. The model is a table of fixed size (``FEATURES`` x ``CLASSES``), the only thing broadcast besides
 the ``LEXICON`` most frequent words.
 
 Counts cover the whole training part: tasks count in bounded dictionaries, a shuffle adds up. The counts of
@@ -24,7 +25,6 @@ an empty table; further columns are not read.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, ship, stage, table
@@ -40,27 +40,30 @@ from .common import crc_mod, ship, stage, table
 #: The end of a text as a token; no word holds a space.
 END = b" "
 
-HEAD = 16
-CLASSES = 64
-KIND = 4096
+HEAD = 8
+CLASSES = 32
+#: Numbers of a feature: all pairs of classes fit, words are hashed.
+KIND = 2048
 KINDS = 4
 FEATURES = KINDS * KIND
 LEXICON = 65_536
-PASSES = 2
+PASSES = 1
 #: Pseudo-count that holds back weights of rare features.
 SMOOTH = 20.0
 #: The features overlap, so that the log odds of each count in part at the start.
 START = 0.4
 
 COUNTER_WORDS = 200_000
-MEMO_WORDS = 200_000
-TOKENS_AT_ONCE = 8192
+#: Characters whose tokens are laid out at once, unless one text has more.
+GROUP_CHARS = 100_000
+TOKENS_AT_ONCE = 4096
 BLOCK_ROWS = 256
 
 
-def class_of(word: bytes) -> int:
-    """The class of a word that isn't one of the head."""
-    return HEAD + zlib.crc32(word[-3:]) % (CLASSES - HEAD)
+_BASE, _SALT = 0x9E3779B97F4A7C15, np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
+_END_HASH = np.uint64(0xE7D)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -69,6 +72,81 @@ def tokens_of(text: str | None) -> list[bytes]:
     return found
 
 
+def class_number(last: np.ndarray | int) -> np.ndarray | int:
+    """The class of words outside the head, from their last three bytes as a number; ``class_column`` is the same in SQL."""
+    return HEAD + ((last * 2654435761) >> 15) % (CLASSES - HEAD)
+
+
+def class_column(word: Column) -> Column:
+    last = F.conv(F.hex(F.substring(word, -3, 3)), 16, 10).cast("bigint")
+    return F.lit(HEAD).cast("bigint") + F.shiftright(last * F.lit(2654435761).cast("bigint"), 15) % (CLASSES - HEAD)
+
+
+class Powers:
+    """Powers of the hash's base and of its inverse modulo 2^64, as many as asked for so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << (n - 1).bit_length()
+            inverse = pow(_BASE, -1, 1 << 64)
+            for name, base in (("up", _BASE), ("down", inverse)):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = Powers()
+
+
+class Tokens:
+    """The tokens of some texts as arrays, without an object for each word: hash, class before the head, where texts start.
+
+    ``word`` gives a token's bytes; ends of texts have their own hash.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(t or "").encode().lower() for t in texts]
+        self.data = b"\n".join([*raw, b""])
+        edges = np.cumsum([len(x) + 1 for x in raw])
+        a = np.frombuffer(self.data, np.uint8)
+        inside = ~_SPACE[a]
+        change = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+        self.start, self.stop = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+        up, down = _POWERS.upto(len(a) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_SALT[a] * up[:-1], dtype=np.uint64)])
+        h = (sums[self.stop] - sums[self.start]) * down[self.start]
+        h ^= h >> np.uint64(29)
+        last = a[self.stop - 1].astype(np.int64)
+        for k in (2, 3):
+            at = self.stop - k
+            last += np.where(at >= self.start, a[np.maximum(at, 0)].astype(np.int64) << (8 * (k - 1)), 0)
+        text = np.searchsorted(edges, self.start, side="right")
+        n = np.bincount(text, minlength=len(raw)) + 1
+        self.starts = np.cumsum(n) - n
+        place = np.arange(len(text)) + text
+        self.hash = np.full(len(text) + len(raw), _END_HASH)
+        self.hash[place] = h
+        self.cls = np.full(len(self.hash), class_number(END[0]), np.int64)
+        self.cls[place] = class_number(last)
+        self.at = np.full(len(self.hash), -1)
+        self.at[place] = np.arange(len(text))
+
+    def word(self, k: int) -> bytes:
+        at = self.at[k]
+        return END if at < 0 else self.data[self.start[at] : self.stop[at]]
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    """The hashes of words, the end of a text among them."""
+    plain = [w for w in words if w != END]
+    found = iter(Tokens([b"\n".join(plain).decode("utf-8", "surrogateescape")]).hash[:-1].tolist() if plain else [])
+    return np.array([int(_END_HASH) if w == END else next(found) for w in words], np.uint64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
@@ -86,35 +164,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-class Lexicon(dict):
-    """Words to places in the arrays of class, hash and log count (NaN: not in the lexicon): a bounded memo."""
-
-    def __init__(self, known: dict[bytes, int], head: list[bytes]):
-        super().__init__()
-        self.known, self.head = known, {w: i for i, w in enumerate(head)}
-        self.room(MEMO_WORDS)
-
-    def room(self, size: int) -> None:
-        """Forget all words and hold up to so many."""
-        self.clear()
-        self.cls, self.hash, self.log = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.float64)
-
-    def __missing__(self, word: bytes) -> int:
-        at = len(self)
-        self.cls[at] = self.head[word] if word in self.head else class_of(word)
-        self.hash[at] = zlib.crc32(word) + 1
-        n = self.known.get(word)
-        self.log[at] = math.nan if n is None else math.log10(n + 1)
-        self[word] = at
-        return at
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        """The words' places; valid until the next call. Makes room for a text of more distinct words than the memo's bound."""
-        if len(self) + len(words) > len(self.cls) and len(self) + (new := len(set(words))) > len(self.cls):
-            self.room(max(MEMO_WORDS, new))
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
 def features(h: np.ndarray, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The feature numbers of each token, from the tokens' hashes and classes and where texts start; 0 stands before a text."""
     place = np.arange(len(c)) - np.repeat(starts, np.diff([*starts, len(c)]))
@@ -132,38 +181,51 @@ def features(h: np.ndarray, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def log_probabilities(f: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Natural log probabilities of the classes, a row for each token."""
-    z = bias + weights[f[:, 0]]
+    z = weights[f[:, 0]]
     for j in range(1, KINDS):
         z += weights[f[:, j]]
+    z += bias
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
-def texts_to_arrays(texts: Iterable[str | None], lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]]]]:
-    """Groups of whole texts: places, starts and words; a group has some ten thousand tokens unless one text has more."""
+class Trained:
+    """What scoring needs; all of bounded size: the head's and the lexicon's words as hashes, and the weights."""
+
+    def __init__(self, top: list[tuple[bytes, int]], log_room: np.ndarray):
+        self.head = hashes([w for w, _ in top[:HEAD]])
+        known = hashes([w for w, _ in top])
+        order = np.argsort(known)
+        self.known, self.logs = known[order], np.log10(np.array([n for _, n in top], np.float64) + 1)[order]
+        self.log_room = log_room
+        self.bias, self.weights = np.zeros(CLASSES, np.float32), np.zeros((FEATURES, CLASSES), np.float32)
+
+    def classes(self, tokens: Tokens) -> np.ndarray:
+        c = tokens.cls
+        for k, h in enumerate(self.head):
+            c[tokens.hash == h] = k
+        return c
+
+    def log_counts(self, tokens: Tokens) -> np.ndarray:
+        """log10(count + 1) of the words in the lexicon; NaN for others."""
+        if not len(self.known):
+            return np.full(len(tokens.hash), math.nan)
+        at = np.minimum(np.searchsorted(self.known, tokens.hash), len(self.known) - 1)
+        return np.where(self.known[at] == tokens.hash, self.logs[at], math.nan)
+
+
+def grouped(texts: Iterable[str | None]) -> Iterator[Tokens]:
+    """Whole texts in groups of about GROUP_CHARS characters; a longer text is a group."""
     group, size = [], 0
     for t in texts:
-        words = tokens_of(t)
-        group.append(words)
-        size += len(words)
-        if size >= TOKENS_AT_ONCE:
-            yield _grouped(group, lexicon)
+        group.append(t)
+        size += len(t or "")
+        if size >= GROUP_CHARS:
+            yield Tokens(group)
             group, size = [], 0
     if group:
-        yield _grouped(group, lexicon)
-
-
-def _grouped(group: list[list[bytes]], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    starts = np.cumsum([0] + [len(w) for w in group[:-1]])
-    return lexicon.places([w for words in group for w in words]), starts, group
-
-
-class Trained:
-    """What scoring needs; all of bounded size."""
-
-    def __init__(self, known: dict[bytes, int], head: list[bytes], log_room: np.ndarray, bias: np.ndarray, weights: np.ndarray):
-        self.known, self.head, self.log_room, self.bias, self.weights = known, head, log_room, bias, weights
+        yield Tokens(group)
 
 
 def _sums(shared: Broadcast, expected: bool):
@@ -171,27 +233,31 @@ def _sums(shared: Broadcast, expected: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Trained = shared.value
-        lexicon = Lexicon({}, model.head)
         total = np.zeros((FEATURES, CLASSES))
         alone = np.zeros(CLASSES)
+        spots: list[np.ndarray] = []
         for batch in batches:
-            for places, starts, _ in texts_to_arrays((t.as_py() for t in batch.column(0)), lexicon):
-                c = lexicon.cls[places]
-                f = features(lexicon.hash[places], c, starts)
+            for tokens in grouped(t.as_py() for t in batch.column(0)):
+                c = model.classes(tokens)
+                f = features(tokens.hash, c, tokens.starts)
                 for k in range(0, len(c), TOKENS_AT_ONCE):
                     part, cls = f[k : k + TOKENS_AT_ONCE], c[k : k + TOKENS_AT_ONCE]
                     if expected:
                         p = np.exp(log_probabilities(part, model.bias, model.weights))
                         alone += p.sum(axis=0)
                         for j in range(KINDS):
-                            order = np.argsort(part[:, j], kind="stable")
-                            at, first = np.unique(part[order, j], return_index=True)
-                            total[at] += np.add.reduceat(p[order], first, axis=0)
+                            order = np.argsort(part[:, j])
+                            ranked = part[order, j]
+                            first = np.flatnonzero(np.diff(ranked, prepend=-1))
+                            total[ranked[first]] += np.add.reduceat(p[order], first, axis=0)
                     else:
                         alone += np.bincount(cls, minlength=CLASSES)
-                        for j in range(KINDS):
-                            spot, n = np.unique(part[:, j] * CLASSES + cls, return_counts=True)
-                            total.reshape(-1)[spot] += n
+                        spots.append((part * CLASSES + cls[:, None]).ravel())
+                        if len(spots) > 64:
+                            total += np.bincount(np.concatenate(spots), minlength=FEATURES * CLASSES).reshape(total.shape)
+                            spots.clear()
+        if spots:
+            total += np.bincount(np.concatenate(spots), minlength=FEATURES * CLASSES).reshape(total.shape)
         blocks = [total[k : k + BLOCK_ROWS] for k in range(0, FEATURES, BLOCK_ROWS)] + [alone[None]]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.astype(np.float32).tobytes() for b in blocks], pa.binary())], names=["block", "values"])
 
@@ -238,12 +304,11 @@ def _scored(shared: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Trained = shared.value
-        lexicon = Lexicon(model.known, model.head)
         for batch in batches:
             n_tokens, n_known, logs, classes, rare, times = [], [], [], [], [], []
-            for places, starts, group in texts_to_arrays((t.as_py() for t in batch.column(2)), lexicon):
-                cls, log = lexicon.cls[places], lexicon.log[places]
-                f = features(lexicon.hash[places], cls, starts)
+            for tokens in grouped(t.as_py() for t in batch.column(2)):
+                cls, log, starts = model.classes(tokens), model.log_counts(tokens), tokens.starts
+                f = features(tokens.hash, cls, starts)
                 of_class = np.empty(len(cls))
                 for k in range(0, len(cls), TOKENS_AT_ONCE):
                     part = slice(k, k + TOKENS_AT_ONCE)
@@ -254,12 +319,14 @@ def _scored(shared: Broadcast):
                 logs += np.add.reduceat(np.where(known, log, 0.0), starts).tolist()
                 n_known += np.add.reduceat((known & (log > 0)).astype(np.int64), starts).tolist()
                 classes += np.add.reduceat(of_class, starts).tolist()
-                n_tokens += [len(w) for w in group]
-                ends = [*starts[1:].tolist(), len(cls)]
-                for words, a, b in zip(group, starts.tolist(), ends, strict=True):
-                    unsure = Counter(words[i] for i in np.flatnonzero(~known[a:b]).tolist())
-                    rare.append(list(unsure.keys()))
-                    times.append(list(unsure.values()))
+                ends = np.append(starts[1:], len(cls))
+                n_tokens += (ends - starts).tolist()
+                unsure = np.flatnonzero(~known)
+                cuts = np.searchsorted(unsure, ends)
+                for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                    seen = Counter(tokens.word(k) for k in unsure[a:b].tolist())
+                    rare.append(list(seen.keys()))
+                    times.append(list(seen.values()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(classes, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "classes", "rare", "times"])
 
     return run
@@ -275,16 +342,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(LEXICON).collect()]
     head = [w for w, _ in top[:HEAD]]
     # The class's room: its tokens, its words and one for the unknown.
-    of_class = F.lit(HEAD).cast("bigint") + F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(CLASSES - HEAD))
-    place = F.coalesce(*(F.when(F.col("word") == F.lit(bytearray(w)), F.lit(i).cast("bigint")) for i, w in enumerate(head)), of_class)
+    place = F.coalesce(*(F.when(F.col("word") == F.lit(bytearray(w)), F.lit(i).cast("bigint")) for i, w in enumerate(head)), class_column(F.col("word")))
     room = np.ones(CLASSES)
     tokens = words = 0
     for r in counts.groupBy(place.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         room[r["c"]] += r["n"] + r["words"]
         tokens += r["n"]
         words += r["words"]
-    model = train_classes(train, Trained({}, head, np.log10(room), np.zeros(CLASSES, np.float32), np.zeros((FEATURES, CLASSES), np.float32)))
-    model.known = dict(top)
+    model = train_classes(train, Trained(top, np.log10(room)))
     shared = spark.sparkContext.broadcast(model)
     told = docs.select("doc_id", "held_out", "text").mapInArrow(_scored(shared), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, classes double, rare array<binary>, times array<bigint>")
     told = stage(told.withColumn("rid", F.monotonically_increasing_id()), "scored")
