@@ -79,3 +79,17 @@ def test_tokens_and_classes_as_arrays(spark):
     assert M.hashes(want).tolist() == got.hash.tolist()
     d = spark.createDataFrame([(bytearray(w),) for w in want], "word binary")
     assert [r[0] for r in d.select(M.class_column(F.col("word"))).collect()] == got.cls.tolist()
+
+
+def test_capacity_by_held_out_gain(spark):
+    """Half the classes and slots and one gradient step gain 4,707 here."""
+    r = M.op10_maxent_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum(F.col("score") - F.col("base_score")).alias("gain")).first()
+    assert r["gain"] > 7000
+
+
+def test_slots_grow_with_tokens():
+    found = [M.word_slots(n) for n in (0, 10**6, 10**7, 10**8, 10**12)]
+    assert found == sorted(found) and found[0] == M.KIND >= M.CLASSES**2 and found[-1] == M.MOST_SLOTS > M.KIND
+    h, c = np.arange(1, 50, dtype=np.uint64) * np.uint64(M._BASE), np.full(49, M.CLASSES - 1)
+    f = M.features(h, c, np.array([0, 20]), M.MOST_SLOTS)
+    assert f.max() < M.FEATURES - M.KIND + M.MOST_SLOTS and f[:, -1].min() >= M.FEATURES - M.KIND and f[:, -1].max() >= M.FEATURES

@@ -9,9 +9,9 @@ features, the classes of the third and fourth and of the fifth and sixth word ba
 Training takes distributed gradient steps. In each, every task works out the gradient on its documents (observed minus
 expected counts of each feature with each class) in numpy batches; blocks of it are summed by a shuffle, and the driver
 applies the step, scaled for each weight by what it expects. At weights of zero the expected counts are known without
-a softmax, so the first step gathers observed counts only and goes along the log of their ratio to the expected;
-``PASSES`` further steps go along the gradient itself. The model is a table of fixed size (``FEATURES`` x ``CLASSES``), the only thing broadcast besides
-the ``LEXICON`` most frequent words.
+a softmax, so the start gathers observed counts only and takes the log of their ratio to the expected; ``PASSES``
+gradient steps follow. The hashed words have ``KIND`` slots at least, doubled with the counted tokens up to ``MOST_SLOTS``; so the
+model is a table of bounded size, the only thing broadcast besides the ``LEXICON`` most frequent words.
 
 Counts cover the whole training part: tasks count in bounded dictionaries, a shuffle adds up. The counts of
 frequent words travel in the lexicon; a document's other words are joined to the count table, so the table may have any
@@ -40,14 +40,17 @@ from .common import crc_mod, ship, stage, table
 #: The end of a text as a token; no word holds a space.
 END = b" "
 
-HEAD = 8
-CLASSES = 32
+HEAD = 16
+CLASSES = 64
 #: Numbers of a feature: all pairs of classes fit, words are hashed.
-KIND = 2048
+KIND = 4096
 KINDS = 4
 FEATURES = KINDS * KIND
+#: The hashed words' numbers come last and double while they'd have more training tokens each, up to so many.
+TOKENS_A_SLOT = 1024
+MOST_SLOTS = 16_384
 LEXICON = 65_536
-PASSES = 1
+PASSES = 2
 #: Pseudo-count that holds back weights of rare features.
 SMOOTH = 20.0
 #: The features overlap, so that the log odds of each count in part at the start.
@@ -57,6 +60,8 @@ COUNTER_WORDS = 200_000
 #: Characters whose tokens are laid out at once, unless one text has more.
 GROUP_CHARS = 100_000
 TOKENS_AT_ONCE = 4096
+#: Tokens whose expected counts are summed at once.
+SUMMED_AT_ONCE = 16_384
 BLOCK_ROWS = 256
 
 
@@ -164,7 +169,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def features(h: np.ndarray, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def word_slots(tokens: int) -> int:
+    """Numbers of the hashed words for so many training tokens."""
+    slots = KIND
+    while slots < MOST_SLOTS and slots * TOKENS_A_SLOT < tokens:
+        slots *= 2
+    return slots
+
+
+def features(h: np.ndarray, c: np.ndarray, starts: np.ndarray, slots: int) -> np.ndarray:
     """The feature numbers of each token, from the tokens' hashes and classes and where texts start; 0 stands before a text."""
     place = np.arange(len(c)) - np.repeat(starts, np.diff([*starts, len(c)]))
 
@@ -174,32 +187,46 @@ def features(h: np.ndarray, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
         out[place < k] = 0
         return out
 
-    word = ((back(h, 1) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(KIND)
+    word = ((back(h, 1) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(slots)
     pairs = [(back(c, k) * CLASSES + back(c, k + 1)) % KIND for k in (1, 3, 5)]
-    return np.stack([word.astype(np.int64), *(KIND * (j + 1) + x for j, x in enumerate(pairs))], axis=1)
+    return np.stack([*(KIND * j + x for j, x in enumerate(pairs)), KIND * len(pairs) + word.astype(np.int64)], axis=1)
 
 
-def log_probabilities(f: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of the classes, a row for each token."""
+def _sides(f: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weights summed, a row for each token, less the row's largest."""
     z = weights[f[:, 0]]
     for j in range(1, KINDS):
         z += weights[f[:, j]]
     z += bias
     z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def log_probabilities(f: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of the classes, a row for each token."""
+    z = _sides(f, bias, weights)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def probabilities(f: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    p = _sides(f, bias, weights)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    return p
+
+
 class Trained:
     """What scoring needs; all of bounded size: the head's and the lexicon's words as hashes, and the weights."""
 
-    def __init__(self, top: list[tuple[bytes, int]], log_room: np.ndarray):
+    def __init__(self, top: list[tuple[bytes, int]], log_room: np.ndarray, slots: int):
         self.head = hashes([w for w, _ in top[:HEAD]])
         known = hashes([w for w, _ in top])
         order = np.argsort(known)
         self.known, self.logs = known[order], np.log10(np.array([n for _, n in top], np.float64) + 1)[order]
         self.log_room = log_room
-        self.bias, self.weights = np.zeros(CLASSES, np.float32), np.zeros((FEATURES, CLASSES), np.float32)
+        self.bias, self.weights = np.zeros(CLASSES, np.float32), np.zeros((FEATURES - KIND + slots, CLASSES), np.float32)
+        self.slots = slots
 
     def classes(self, tokens: Tokens) -> np.ndarray:
         c = tokens.cls
@@ -233,32 +260,38 @@ def _sums(shared: Broadcast, expected: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Trained = shared.value
-        total = np.zeros((FEATURES, CLASSES))
+        n_features = len(model.weights)
+        total = np.zeros((CLASSES, n_features)) if expected else np.zeros((n_features, CLASSES))
         alone = np.zeros(CLASSES)
         spots: list[np.ndarray] = []
+        # The numbers of each feature, and where they end.
+        kinds = [(KIND * j, KIND * (j + 1)) for j in range(KINDS - 1)] + [(KIND * (KINDS - 1), n_features)]
         for batch in batches:
             for tokens in grouped(t.as_py() for t in batch.column(0)):
                 c = model.classes(tokens)
-                f = features(tokens.hash, c, tokens.starts)
-                for k in range(0, len(c), TOKENS_AT_ONCE):
-                    part, cls = f[k : k + TOKENS_AT_ONCE], c[k : k + TOKENS_AT_ONCE]
+                f = features(tokens.hash, c, tokens.starts, model.slots)
+                for k in range(0, len(c), SUMMED_AT_ONCE):
+                    part, cls = f[k : k + SUMMED_AT_ONCE], c[k : k + SUMMED_AT_ONCE]
                     if expected:
-                        p = np.exp(log_probabilities(part, model.bias, model.weights))
-                        alone += p.sum(axis=0)
-                        for j in range(KINDS):
-                            order = np.argsort(part[:, j])
-                            ranked = part[order, j]
-                            first = np.flatnonzero(np.diff(ranked, prepend=-1))
-                            total[ranked[first]] += np.add.reduceat(p[order], first, axis=0)
+                        p = np.empty((CLASSES, len(part)))
+                        for i in range(0, len(part), TOKENS_AT_ONCE):
+                            p[:, i : i + TOKENS_AT_ONCE] = probabilities(part[i : i + TOKENS_AT_ONCE], model.bias, model.weights).T
+                        alone += p.sum(axis=1)
+                        for j, (low, high) in enumerate(kinds):
+                            at = part[:, j] - low
+                            for k_class in range(CLASSES):
+                                total[k_class, low:high] += np.bincount(at, weights=p[k_class], minlength=high - low)
                     else:
                         alone += np.bincount(cls, minlength=CLASSES)
                         spots.append((part * CLASSES + cls[:, None]).ravel())
                         if len(spots) > 64:
-                            total += np.bincount(np.concatenate(spots), minlength=FEATURES * CLASSES).reshape(total.shape)
+                            total += np.bincount(np.concatenate(spots), minlength=total.size).reshape(total.shape)
                             spots.clear()
         if spots:
-            total += np.bincount(np.concatenate(spots), minlength=FEATURES * CLASSES).reshape(total.shape)
-        blocks = [total[k : k + BLOCK_ROWS] for k in range(0, FEATURES, BLOCK_ROWS)] + [alone[None]]
+            total += np.bincount(np.concatenate(spots), minlength=total.size).reshape(total.shape)
+        if expected:
+            total = np.ascontiguousarray(total.T)
+        blocks = [total[k : k + BLOCK_ROWS] for k in range(0, n_features, BLOCK_ROWS)] + [alone[None]]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.astype(np.float32).tobytes() for b in blocks], pa.binary())], names=["block", "values"])
 
     return run
@@ -270,14 +303,14 @@ def _add(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def table_of(train: DataFrame, model: Trained, expected: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The summed table and the classes' row, on the driver: FEATURES x CLASSES numbers whatever the corpus."""
+    """The summed table and the classes' row, on the driver: as many numbers as the model has weights."""
     shared = train.sparkSession.sparkContext.broadcast(model)
     parts = train.mapInArrow(_sums(shared, expected), "block int, values binary")
     rows = parts.groupBy("block").applyInPandas(_add, "block int, values binary").collect()
     shared.unpersist()
     blocks = {r["block"]: np.frombuffer(r["values"]).reshape(-1, CLASSES) for r in rows}
     if not blocks:
-        return np.zeros((FEATURES, CLASSES)), np.zeros(CLASSES)
+        return np.zeros(model.weights.shape), np.zeros(CLASSES)
     last = max(blocks)
     return np.concatenate([blocks[k] for k in range(last)]), blocks[last][0]
 
@@ -308,7 +341,7 @@ def _scored(shared: Broadcast):
             n_tokens, n_known, logs, classes, rare, times = [], [], [], [], [], []
             for tokens in grouped(t.as_py() for t in batch.column(2)):
                 cls, log, starts = model.classes(tokens), model.log_counts(tokens), tokens.starts
-                f = features(tokens.hash, cls, starts)
+                f = features(tokens.hash, cls, starts, model.slots)
                 of_class = np.empty(len(cls))
                 for k in range(0, len(cls), TOKENS_AT_ONCE):
                     part = slice(k, k + TOKENS_AT_ONCE)
@@ -349,7 +382,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         room[r["c"]] += r["n"] + r["words"]
         tokens += r["n"]
         words += r["words"]
-    model = train_classes(train, Trained(top, np.log10(room)))
+    model = train_classes(train, Trained(top, np.log10(room), word_slots(tokens)))
     shared = spark.sparkContext.broadcast(model)
     told = docs.select("doc_id", "held_out", "text").mapInArrow(_scored(shared), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, classes double, rare array<binary>, times array<bigint>")
     told = stage(told.withColumn("rid", F.monotonically_increasing_id()), "scored")
