@@ -108,3 +108,21 @@ def test_odd_rows(spark):
     got = sorted(((r["doc_id"] or 0, r["text"], r["n_removed"], r["n_chars"]) for r in L.dedup_lines(docs).collect()), key=repr)
     assert got == sorted([(0, long, 0, 5), (1, "", 1, 0), (1, "", 1, 0), (2, None, 0, 5), (3, "", 0, 5), (4, "\n\n", 0, 5)], key=repr)
     assert L.dedup_lines(docs.limit(0)).collect() == []
+
+
+def test_window_after_a_frequent_line(spark):
+    """The frequent line's first place is followed by other lines; later places share the whole window all the same."""
+    line = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    docs, passages = [], []
+    for p in range(20):
+        run = [line("licence", 30), line(f"x{p}_", 15), line(f"y{p}_", 15)]
+        run = run[p % 3 :] + run[: p % 3]
+        passages.append(run)
+        docs += [(100 + 3 * p + k, "\n".join([f"head {p} {k}", *run, f"tail {p} {k}"])) for k in range(3)]
+    docs.append((1, "\n".join(["start", line("licence", 30), "other end", line("z", 40)])))
+    got = {r["doc_id"]: (r["text"] or "").split("\n") for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    for p, run in enumerate(passages):
+        for k in (1, 2):
+            assert got[100 + 3 * p + k] == [f"head {p} {k}", f"tail {p} {k}"]
+        assert set(run[j] for j in range(3) if "licence" not in run[j]) <= set(got[100 + 3 * p])
+    assert got[1] == docs[-1][1].split("\n")

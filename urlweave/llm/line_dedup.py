@@ -3,10 +3,12 @@
 Lines without words are left out of all that follows and stay. A gram is the shortest run of lines from some line on
 that holds at least ``GRAM_WORDS`` words; a window is the shortest run that holds at least ``RUN_WORDS``. In every window
 the gram of least hash (the last of equals) is selected: so a run of RUN_WORDS or more words that two places share
-has a gram selected in both, and what is shorter than GRAM_WORDS is never looked at. Selected grams are joined to
-their first place, documents in order of id; each match is extended both ways, line by line, while the lines agree,
+has a gram selected in both, and what is shorter than GRAM_WORDS is never looked at. Selected grams, and the whole
+windows beside them, are joined to their first place, documents in order of id: the first place of a frequent gram may be
+followed by other lines, that of a window is followed by the window's own. Each match is extended both ways, line by line, while the lines agree,
 and the lines of the later place are deleted. A line that goes always has an equal one at an earlier place, so
-the first copy of every line stays.
+the first copy of every line stays, and every line of a window of whole lines that an earlier place has goes. A passage that starts
+or ends inside a line is not found as such.
 
 Work is on arrays of line hashes, some bytes for a line; texts are shuffled once, to lose their lines. A gram that a
 third of all documents share meets its first place in a join whose hot key adaptive execution splits; grams are
@@ -47,7 +49,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def selected_grams(lines: DataFrame) -> DataFrame:
-    """The fingerprints: doc_id, text_hash, at (index among the lines with words), gram."""
+    """The fingerprints: doc_id, text_hash, at (index among the lines with words), gram (or a whole window's hash)."""
     each = lines.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("h", "w")).alias("at", "l")).select("doc_id", "text_hash", "at", "l.*")
     doc = Window.partitionBy("doc_id", "text_hash")
     begin = F.coalesce(F.sum("w").over(doc.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -57,10 +59,11 @@ def selected_grams(lines: DataFrame) -> DataFrame:
     of_run = doc.orderBy("begin").rangeBetween(0, RUN_WORDS - 1)
     each = each.withColumn("gram", F.xxhash64(F.collect_list("h").over(of_gram))).withColumn("gram_end", F.max(F.col("begin") + F.col("w")).over(of_gram))
     full = F.when(F.col("gram_end") - F.col("begin") >= GRAM_WORDS, F.struct("gram", (-F.col("at")).alias("back"), "gram_end"))
-    each = each.withColumn("grams", F.collect_list(full).over(of_run)).withColumn("run_end", F.max(F.col("begin") + F.col("w")).over(of_run))
+    each = each.withColumn("grams", F.collect_list(full).over(of_run)).withColumn("run", F.xxhash64(F.collect_list("h").over(of_run))).withColumn("run_end", F.max(F.col("begin") + F.col("w")).over(of_run))
     window = each.where(F.col("run_end") - F.col("begin") >= RUN_WORDS)
     least = F.array_min(F.filter("grams", lambda g: g["gram_end"] <= F.col("run_end")))
-    chosen = window.select("doc_id", "text_hash", least.alias("g")).select("doc_id", "text_hash", (-F.col("g.back")).alias("at"), "g.gram")
+    both = F.array(F.struct((-F.col("g.back")).alias("at"), F.col("g.gram").alias("gram")), F.struct("at", F.col("run").alias("gram")))
+    chosen = window.withColumn("g", least).select("doc_id", "text_hash", F.inline(both))
     return chosen.distinct()
 
 
