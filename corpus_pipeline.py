@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 columns of ``documents``. ``run`` writes what a stage returns to the shared folder before the next one reads it.
 
 Rows that a stage drops: those that the quality classifier rejects; those whose words all went as repeated lines; all
-but the document with the smallest id of each near-duplicate class (rows that repeat id and text are one); those that
+but one row of each near-duplicate class (of smallest id, null ids last, then text hash; of rows without words, those that
+repeat id and text); those that
 the mixture takes no words of. Null texts count as empty throughout; an empty table passes as an empty table.
 """
 
@@ -35,10 +36,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    told = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return told.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    """One row of each near-duplicate class, whatever the ids."""
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near_rows")
+    classes = near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    told = rows.select("_row", "doc_id", F.xxhash64("text").alias("text_hash")).join(classes, "_row")
+    worded = F.col("n_shingles") > 0
+    keys = [F.when(worded, F.col("component_id")).alias("of_words"), F.when(~worded, F.struct("doc_id", "text_hash")).alias("of_row")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "_row"))
+    kept = told.groupBy(*keys).agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

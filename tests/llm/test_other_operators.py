@@ -249,3 +249,15 @@ def test_pipeline_on_odd_rows(spark):
         for name, f in P.STAGES:
             docs = P.stage(f(spark, docs, SF), f"odd_{name}")
         assert docs.count() <= len(rows) * 3
+
+
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline as P
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, a), (None, a + " more"), (4, a), (5, b), (5, b + " more"), (2, c), (7, c), (7, a + " end"), (None, c), (None, ""), (None, ""), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    got = [(r["doc_id"], r["text"]) for r in P.near(spark, docs, SF).collect()]
+    assert sorted(((i, t[0]) for i, t in got if t), key=repr) == [(2, "c"), (4, "a"), (5, "b")]
+    assert sorted(((i, t) for i, t in got if not t), key=repr) == [(8, None), (None, "")]
