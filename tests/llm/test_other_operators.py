@@ -261,3 +261,21 @@ def test_pipeline_keeps_one_row_of_each_class(spark):
     got = [(r["doc_id"], r["text"]) for r in P.near(spark, docs, SF).collect()]
     assert sorted(((i, t[0]) for i, t in got if t), key=repr) == [(2, "c"), (4, "a"), (5, "b")]
     assert sorted(((i, t) for i, t in got if not t), key=repr) == [(8, None), (None, "")]
+
+
+def test_fitting_reads_lines_past_the_first(spark, monkeypatch):
+    """Every line of the sampled documents, described as in scoring, and whole documents within the bound."""
+    fitted = []
+    monkeypatch.setattr(Q, "fit", fitted.append)
+    texts = {1: "\n".join([f"A clean line of words {k}." for k in range(300)] + ["junk | junk !!"] * 150), 2: "one\ntwo"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, quality int")
+    Q.train(docs, labels)
+    for label, i in ((0, 1), (1, 2)):
+        pieces = [x for x, y in fitted[0] if y == label]
+        assert max(map(len, pieces)) <= Q.FIT_LINES
+        assert np.array_equal(np.concatenate(pieces), Q.line_features(texts[i])[0])
+    monkeypatch.setattr(Q, "FIT_DOCS", 2)
+    monkeypatch.setattr(Q, "FIT_LINES", 100)
+    Q.train(docs, labels)
+    assert [y for _, y in fitted[1]] == [1]

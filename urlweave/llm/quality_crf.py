@@ -5,8 +5,9 @@ numbers of the line before and the line after; the field adds a weight for each
 is fitted by conditional likelihood, the lines of a labelled document all carrying its label. A document's score is
 the mean of its lines' forward-backward marginals of "good", weighted by their length.
 
-Fitting uses a bounded sample: the ``FIT_DOCS`` labelled documents whose ids hash lowest, the first ``FIT_LINES`` lines of
-each; so the driver holds a bounded table of numbers. Scoring reads every line of every text in Arrow batches.
+Fitting uses a bounded sample of whole documents: the labelled ones whose ids hash lowest, ``FIT_DOCS`` at most and as many as
+have ``FIT_DOCS * FIT_LINES`` lines together (one with more than that alone is passed over); so the driver holds a bounded table of
+numbers. All their lines are described, from the whole text; chains are fitted in pieces of ``FIT_LINES`` lines. Scoring reads every line of every text in Arrow batches.
 
 Defined cases: a null or empty text is one empty line; lines end at a line feed; labels that are neither 0 nor 1
 are not used, and of several labels of one id the largest holds; without labels every score is 0.5; a null id is
@@ -84,9 +85,9 @@ def describe(line: str, often: int) -> list[float]:
 N_FEATURES = 25
 
 
-def line_features(text: str | None, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(lines x features with the neighbours' and a bias, lengths) of a text."""
-    lines = (text or "").split("\n")[:limit]
+    lines = (text or "").split("\n")
     seen = Counter(lines)
     own = np.array([describe(x, seen[x]) for x in lines], np.float32)
     edge = np.zeros((1, N_FEATURES), np.float32)
@@ -181,7 +182,7 @@ def fit(docs: list[tuple[np.ndarray, int]]) -> Field | None:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        told = [line_features(t.as_py(), FIT_LINES)[0].tobytes() for t in batch.column(2)]
+        told = [line_features(t.as_py())[0].tobytes() for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.binary())], names=["doc_id", "quality", "lines"])
 
 
@@ -189,9 +190,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     """Fit on labelled documents: docs (doc_id, text), labels (doc_id, quality) of the training part."""
     usable = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    told = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").mapInArrow(_described, "doc_id bigint, quality int, lines binary")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # Rows that repeat an id come and go together.
+    sizes = texts.groupBy("doc_id").agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("n"), F.xxhash64("doc_id").alias("rank")).collect()
+    room, chosen = FIT_DOCS * FIT_LINES, []
+    for r in sorted((r for r in sizes if r["n"] <= FIT_DOCS * FIT_LINES), key=lambda r: (r["rank"], r["doc_id"])):
+        room -= r["n"]
+        if room < 0:
+            break
+        chosen.append((r["doc_id"],))
+    if len(chosen) < len(sizes):
+        texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id bigint")), "doc_id", "left_semi")
+    told = texts.select("doc_id", "quality", "text").mapInArrow(_described, "doc_id bigint, quality int, lines binary")
     rows = sorted((r["doc_id"], bytes(r["lines"]), r["quality"]) for r in told.collect())
-    return fit([(np.frombuffer(x, np.float32).reshape(-1, WIDTH), y) for _, x, y in rows])
+    whole = [(np.frombuffer(x, np.float32).reshape(-1, WIDTH), y) for _, x, y in rows]
+    return fit([(x[k : k + FIT_LINES], y) for x, y in whole for k in range(0, len(x), FIT_LINES)])
 
 
 def _scores(shared: Broadcast):
