@@ -58,10 +58,10 @@ def test_emission_waits_for_certainty_and_is_bounded(tokens):
 
 
 def test_forgetting_changes_nothing(tokens, own, monkeypatch):
-    monkeypatch.setattr(B, "MAX_TRANSITIONS", 50)
-    monkeypatch.setattr(B, "MAX_PIECES", 5)
+    monkeypatch.setattr(B, "MAX_MOVES", 50)
+    monkeypatch.setattr(B, "MEMO_BYTES", 1000)
     encoder = B.Encoder(tokens, PATTERN)
-    for t in odd_texts(200):
+    for t in [*odd_texts(200), "".join(chr(97 + k * k % 26) for k in range(3000)), "ab" * 2000]:
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == own.encode_ordinary(t)
 
 
@@ -85,6 +85,17 @@ def test_query_and_round_trip(spark, own):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_tokenise_in_small_batches(spark, own, monkeypatch):
+    monkeypatch.setattr(B, "BATCH_BYTES", 50)
+    rows = [(k, t, f"s{k}") for k, t in enumerate([None, "", "abc " * 100, *odd_texts(60)])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `so``ur.ce` string")
+    got = B.tokenise(docs, PATH, PATTERN)
+    assert got.columns == ["doc_id", "so`ur.ce", "ids", "n_tokens", "round_trip"]
+    found = {r["doc_id"]: r for r in got.collect()}
+    assert all(found[k]["ids"] == own.encode_ordinary(t or "") and found[k]["round_trip"] and found[k]["n_tokens"] == len(found[k]["ids"]) for k, t, _ in rows)
+    assert B.tokenise(docs.limit(0), PATH, PATTERN).collect() == []
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 9), (2, "", 9), (2, "", 9), (None, "abc", 9)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens int")

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 import re
@@ -82,6 +83,26 @@ def test_perfect_hash():
         assert again.slots(r.integers(0, 2**63, (50, 4), dtype=np.uint64)).max(initial=-1) < max(n, 1)
 
 
+def test_64_bit_ids_stay_exact_beside_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(E, "BUCKET_KEYS", 2)
+    big = 1 << 60
+    rows = [(big + 3, "same text"), (big + 1, "sametext"), (big + 5, "same text"), (None, "x"), (None, "y"), (big + 7, "y"), (big + 9, None), (big + 8, " ")] + [(big + 100 + k, f"own {k}") for k in range(20)]
+    schema = "doc_id bigint, text string"
+    none = spark.createDataFrame([], schema)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault("".join((t or "").split()), []).append((-len(t or ""), i is None, i))
+    for old, new in ((none, rows), (rows, none), (rows[::2], rows[1::2])):
+        frames = [x if x is none else spark.createDataFrame(x, schema) for x in (old, new)]
+        got = {(r["doc_id"], r["text_sha256"]): r for r in E.exact_dedup(*frames).collect()}
+        assert len(got) == len(rows)
+        for i, t in rows:
+            norm = "".join((t or "").split())
+            r = got[i, hashlib.sha256(norm.encode()).hexdigest()]
+            best = min(groups[norm], key=lambda g: (g[0], g[1], g[2] or 0))
+            assert (r["keep_id"], r["group_size"], r["kept"]) == (best[2], len(groups[norm]), i == best[2])
+
+
 def test_history_and_new_rows(spark):
     old = [(1, "a b"), (2, "a  b "), (9, None)]
     new = [(3, "ab"), (4, "a\tb\n  "), (5, "c"), (6, "c"), (None, "c  "), (7, ""), (4, "zz"), (4, "zz")]

@@ -13,6 +13,10 @@ Decoding is a second machine: tokens to bytes, and an incremental UTF-8 automato
 characters and carries the bytes of an open one into the next chunk; bad bytes give U+FFFD as Python's
 "replace" does.
 
+``tokenise`` runs both machines in one worker: a text goes in, its ids and whether they decode to it come out.
+What a worker holds is bounded in bytes: memos by MEMO_BYTES, the machine by MAX_MOVES, a batch that goes out by BATCH_BYTES
+or one text.
+
 Defined cases: a null text counts as empty and encodes to no ids; special tokens' strings are ordinary text;
 very long texts are encoded whole, piece by piece; rows may repeat; other columns pass through, and existing
 columns named like a result column are replaced.
@@ -25,17 +29,26 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import pieces, ship, table, with_arrow
+
+#: Moves of the machine at most (some 300 bytes each with their states); beyond, it starts anew.
+MAX_MOVES = 100_000
+
+#: Bytes of memorised pieces at most, in each of two memos; beyond, a memo starts anew.
+MEMO_BYTES = 32_000_000
+
+#: Bytes of text that are worked on at once, unless one text has more.
+BATCH_BYTES = 2_000_000
 
-#: Transitions and memorised pieces at most; beyond, the machine starts anew.
-MAX_TRANSITIONS = 500_000
-MAX_PIECES = 500_000
+#: What a dictionary takes for an entry, beside its key and value, just after it has grown.
+ENTRY_BYTES = 100
 
 #: Pieces longer than this many bytes aren't memorised.
 LONG_PIECE = 64
@@ -58,17 +71,21 @@ class Transducer:
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.tokens = tokens
         #: Bytes that may wait for certainty before it is looked for.
-        self.lookahead = 4 * max(map(len, tokens))
+        self.lookahead = 4 * max(map(len, tokens), default=0)
         self.prefixes = {t[:k] for t in tokens for k in range(len(t) + 1)}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
-    def reset(self) -> None:
+    def reset(self, live: tuple[bytes, tuple[int, ...]] | None = None) -> int:
+        """Forget all states but the first and ``live``; the number of ``live``."""
         #: A state is (live suffix, last token at each boundary of it from its start to its end; -1 at the piece's start).
         self.states: list[tuple[bytes, tuple[int, ...]]] = [(b"", (-1,))]
-        self.state_of = {self.states[0]: 0}
+        if live is not None and live != self.states[0]:
+            self.states.append(live)
+        self.state_of = {x: k for k, x in enumerate(self.states)}
         self.moves: dict[int, tuple[int, int]] = {}
         self._pair: dict[int, bool] = {}
+        return len(self.states) - 1
 
     def merged(self, piece: bytes) -> list[int]:
         """By the definition: join the neighbours of least rank, the leftmost first, until none is left. For short byte strings."""
@@ -155,16 +172,20 @@ class Transducer:
         return out
 
     def emit(self, piece: bytes) -> Iterator[list[int]]:
-        """The piece's tokens, as soon as every live boundary's encoding begins with them."""
-        if len(self.moves) > MAX_TRANSITIONS:
-            self.reset()
-        state, moves, last = 0, self.moves, [-1]
+        """The piece's tokens, as soon as every live boundary's encoding begins with them.
+
+        Looked for when ``lookahead`` more bytes wait than when it was last in doubt, so that the search costs
+        a bounded amount a byte. Restarts keep the live state: the machine may be emptied inside a piece.
+        """
+        state, moves, last, due = 0, self.moves, [-1], self.lookahead
         for byte in piece:
             if (found := moves.get(state << 8 | byte)) is None:
+                if len(moves) >= MAX_MOVES:
+                    state, moves = self.reset(self.states[state]), self.moves
                 found = self.move(state, byte)
             state = found[0]
             last.append(found[1])
-            if len(last) > self.lookahead:
+            if len(last) > due:
                 live = len(self.states[state][1])
                 paths = [self.path(last, k) for k in range(len(last) - live, len(last))]
                 common = 0
@@ -176,20 +197,22 @@ class Transducer:
                     yield paths[0][:common]
                     done = sum(len(self.tokens[t]) for t in paths[0][:common])
                     last = [-1, *last[done + 1 :]]
+                due = len(last) + self.lookahead
         yield self.path(last, len(last) - 1)
 
     def encode(self, piece: bytes) -> list[int]:
         if len(piece) > self.lookahead:
             return [t for sure in self.emit(piece) for t in sure]
         state, moves, last = 0, self.moves, [-1]
+        if len(moves) >= MAX_MOVES:
+            self.reset()
+            moves = self.moves
         for byte in piece:
             try:
                 state, token = moves[state << 8 | byte]
             except KeyError:
                 state, token = self.move(state, byte)
             last.append(token)
-        if len(moves) > MAX_TRANSITIONS:
-            self.reset()
         return self.path(last, len(last) - 1)
 
 
@@ -205,14 +228,17 @@ class Memo(dict):
 
     def __init__(self, make, lead: str = ""):
         super().__init__()
-        self.make, self.lead = make, lead
+        self.make, self.lead, self.bytes = make, lead, 0
 
     def __missing__(self, text: str) -> bytes:
         ids = self.make(self.lead + text)
         if len(text) <= LONG_PIECE:
-            if len(self) >= MAX_PIECES:
+            size = getsizeof(text) + getsizeof(ids) + ENTRY_BYTES
+            if self.bytes + size > MEMO_BYTES:
                 self.clear()
+                self.bytes = 0
             self[text] = ids
+            self.bytes += size
         return ids
 
 
@@ -302,11 +328,6 @@ def machine(tokens: list[bytes], pattern: str) -> Encoder:
     return _MACHINES[key]
 
 
-def _replaced(df: DataFrame, new: str) -> DataFrame:
-    names = {x.split()[0] for x in new.split(", ")}
-    return df.drop(*names)
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``df`` with ids (array of int) and n_tokens."""
     return _mapped(df, "ids array<int>, n_tokens bigint", _encode_batch, ranks_path, pattern, text_col)
@@ -317,18 +338,23 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     return _mapped(df, "decoded string", _decode_batch, ranks_path, "", ids_col)
 
 
+def tokenise(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``df`` without its text, with ids, n_tokens and round_trip: whether the ids decode to the text (null: empty)."""
+    return _mapped(df, "ids array<int>, n_tokens bigint, round_trip boolean", _tokenise_batch, ranks_path, pattern, text_col, drop=True)
+
+
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``df`` with n_tokens and the digests of the ids and of the bytes that they decode to; ids never leave the worker."""
     return _mapped(df, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", _round_trip_batch, ranks_path, pattern, text_col)
 
 
-def _mapped(df: DataFrame, new: str, work, ranks_path: str, pattern: str, col: str) -> DataFrame:
+def _mapped(df: DataFrame, new: str, work, ranks_path: str, pattern: str, col: str, drop: bool = False) -> DataFrame:
     """The vocabulary (bounded: one file of ranks) is read on the driver and broadcast."""
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
     names = [x.split()[0] for x in new.split(", ")]
-    kept = df.select(*[c for c in df.columns if c not in names])
+    kept = df.drop(*names)
     at = kept.columns.index(col) if col in kept.columns else -1
     if at < 0:  # the column that is read is itself replaced
         raise ValueError(f"{col} is also a result's name")
@@ -337,10 +363,12 @@ def _mapped(df: DataFrame, new: str, work, ranks_path: str, pattern: str, col: s
         tokens = shared.value
         encoder = machine(tokens, pattern) if pattern else None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(at), encoder, tokens)], names=[*batch.schema.names, *names])
+            for part in pieces(batch, at, BATCH_BYTES):
+                made = work(part.column(at), encoder, tokens)
+                held = part.drop_columns([f"c{at}"]) if drop else part
+                yield pa.RecordBatch.from_arrays([*held.columns, *made], names=[*held.schema.names, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), new])
-    return kept.mapInArrow(run, schema)
+    return with_arrow(kept, run, new, col if drop else None)
 
 
 def _encode_batch(texts: pa.Array, encoder: Encoder, tokens: list[bytes]) -> list[pa.Array]:
@@ -351,6 +379,14 @@ def _encode_batch(texts: pa.Array, encoder: Encoder, tokens: list[bytes]) -> lis
     return [pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(counts)]
 
 
+def _tokenise_batch(texts: pa.Array, encoder: Encoder, tokens: list[bytes]) -> list[pa.Array]:
+    ids, counts = _encode_batch(texts, encoder, tokens)
+    same, flat, ends = [], ids.values.to_numpy(), ids.offsets.to_numpy()
+    for k, t in enumerate(texts):
+        same.append(decode_text(decode_chunks(flat[ends[k] : ends[k + 1]], tokens)) == (t.as_py() or ""))
+    return [ids, counts, pa.array(same, pa.bool_())]
+
+
 def _decode_batch(ids: pa.Array, encoder: Encoder | None, tokens: list[bytes]) -> list[pa.Array]:
     return [pa.array([decode_text(decode_chunks(np.array(x.as_py() or [], np.int64), tokens)) for x in ids], pa.string())]
 

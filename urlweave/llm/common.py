@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +37,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser takes it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -48,6 +58,44 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, known) if x)
 
 
+def pieces(batch: pa.RecordBatch, col: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of whole rows that hold about ``limit`` bytes of a string, binary or list column; one row may have more."""
+    at, values = 0, batch.column(col)
+    if not len(values):
+        return
+    size = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    before = np.concatenate([[0], np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    while at < len(values):
+        end = max(at + 1, int(np.searchsorted(before, before[at] + limit, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def lean(run):
+    """``run`` over a task's batches; the worker, which outlives the task, then gives what it no longer holds back to the system."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim is not None:
+            trim(0)
+
+    return freed
+
+
+def with_arrow(df: DataFrame, run, new: str, without: str | None = None) -> DataFrame:
+    """``df``, less the column ``without``, with the columns of the schema ``new`` that ``run`` adds behind a batch's own.
+
+    Columns go by number meanwhile, so any name will do.
+    """
+    numbered = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    kept = [k for k, c in enumerate(df.columns) if c != without]
+    old = ", ".join(f"c{k} {df.schema[k].dataType.simpleString()}" for k in kept)
+    made = numbered.mapInArrow(lean(run), ", ".join(x for x in (old, new) if x))
+    return made.toDF(*(df.columns[k] for k in kept), *(x.split()[0] for x in new.split(", ")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,16 +18,17 @@ not read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, crc_mod, ship, stage, table
 
-#: Distinct digests in a bucket of the index, on average: what one task holds at a time.
+#: Rows whose distinct digests share a bucket, on average: what one task holds at a time, of history and new rows together.
 BUCKET_KEYS = 50_000
 
 INDEX_SCHEMA = "bucket int, level_bits array<binary>, digests binary, points binary, ids binary, id_known binary, counts binary"
+INDEX_TYPE = pa.schema({"bucket": pa.int32(), "level_bits": pa.list_(pa.binary()), "digests": pa.binary(), "points": pa.binary(), "ids": pa.binary(), "id_known": pa.binary(), "counts": pa.binary()})
 GROUP_SCHEMA = "digest binary, keep_id bigint, group_size bigint, in_history boolean"
 
 
@@ -93,55 +94,64 @@ def bucketed(groups: DataFrame, buckets: int) -> DataFrame:
     return groups.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int"))
 
 
-def _words(digests: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), "<u8").reshape(-1, 4)
+def _words(digests: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(digests.to_pylist()), "<u8").reshape(-1, 4)
 
 
-def _build(part: pd.DataFrame) -> pd.DataFrame:
+def _whole(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A column's 64-bit numbers (0 for nulls) and which are known; never by way of floats."""
+    return column.fill_null(0).to_numpy().astype(np.int64), column.is_valid().to_numpy().astype(bool)
+
+
+def _build(part: pa.Table) -> pa.Table:
     """A bucket's index row: the hash, and its slots in order."""
     words = _words(part["digest"])
     hash_ = PerfectHash.build(words)
     order = np.argsort(hash_.slots(words))
-    known = part["doc_id"].notna().to_numpy()
-    ids = part["doc_id"].fillna(0).to_numpy(np.int64)
-    return pd.DataFrame([{"bucket": int(part["bucket"].iloc[0]), "level_bits": hash_.packed(), "digests": words[order].tobytes(), "points": part["points"].to_numpy(np.int64)[order].tobytes(), "ids": ids[order].tobytes(), "id_known": known[order].tobytes(), "counts": part["rows"].to_numpy(np.int64)[order].tobytes()}])
+    (points, _), (ids, known), (rows, _) = (_whole(part[c]) for c in ("points", "doc_id", "rows"))
+    row = {"bucket": part["bucket"][0].as_py(), "level_bits": hash_.packed(), "digests": words[order].tobytes(), "points": points[order].tobytes(), "ids": ids[order].tobytes(), "id_known": known[order].tobytes(), "counts": rows[order].tobytes()}
+    return pa.Table.from_pylist([row], INDEX_TYPE)
+
+
+def _grouped(digests: list[bytes], ids: np.ndarray, known: np.ndarray, counts: np.ndarray, in_history: bool) -> pa.Table:
+    columns = [pa.array(digests, pa.binary()), pa.array(ids, pa.int64(), mask=~known), pa.array(counts, pa.int64()), pa.array([in_history] * len(ids), pa.bool_())]
+    return pa.Table.from_arrays(columns, names=["digest", "keep_id", "group_size", "in_history"])
 
 
-def _lookup(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+def _lookup(new: pa.Table, index: pa.Table) -> pa.Table:
     """The bucket's groups: slots merged with the new digests that they hold, then the nonmembers."""
-    new_points, new_rows = new["points"].to_numpy(np.int64), new["rows"].to_numpy(np.int64)
-    new_ids, new_known = new["doc_id"].fillna(0).to_numpy(np.int64), new["doc_id"].notna().to_numpy()
+    (new_points, _), (new_ids, new_known), (new_rows, _) = (_whole(new[c]) for c in ("points", "doc_id", "rows"))
     member = np.zeros(len(new), bool)
     out = []
     if len(index):
-        row = index.iloc[0]
-        held = np.frombuffer(row["digests"], "<u8").reshape(-1, 4)
+        row = index.to_pylist()[0]
+        raw = row["digests"]
+        held = np.frombuffer(raw, "<u8").reshape(-1, 4)
         points, ids, counts = (np.frombuffer(row[k], np.int64).copy() for k in ("points", "ids", "counts"))
         known = np.frombuffer(row["id_known"], bool).copy()
         if len(new):
             words = _words(new["digest"])
-            slot = PerfectHash.unpacked(list(row["level_bits"])).slots(words)
+            slot = PerfectHash.unpacked(row["level_bits"]).slots(words)
             member = (slot >= 0) & (held[slot] == words).all(axis=1)  # all 32 bytes, not only the slot
             s = slot[member]
             p, i, k = new_points[member], new_ids[member], new_known[member]
             wins = (p > points[s]) | (p == points[s]) & k & (~known[s] | (i < ids[s]))
             counts[s] += new_rows[member]
             points[s[wins]], ids[s[wins]], known[s[wins]] = p[wins], i[wins], k[wins]
-        raw = row["digests"]
-        out.append(pd.DataFrame({"digest": [raw[k : k + 32] for k in range(0, len(raw), 32)], "keep_id": pd.array(ids, "Int64"), "group_size": counts, "in_history": True}).assign(keep_id=lambda d: d["keep_id"].mask(~known)))
+        out.append(_grouped([raw[k : k + 32] for k in range(0, len(raw), 32)], ids, known, counts, True))
     rest = ~member
-    out.append(pd.DataFrame({"digest": new["digest"].to_numpy()[rest], "keep_id": pd.array(new_ids[rest], "Int64"), "group_size": new_rows[rest], "in_history": False}).assign(keep_id=lambda d: d["keep_id"].mask(~new_known[rest])))
-    return pd.concat(out)
+    out.append(_grouped(new["digest"].filter(pa.array(rest)).to_pylist(), new_ids[rest], new_known[rest], new_rows[rest], False))
+    return pa.concat_tables(out)
 
 
 def build_index(groups: DataFrame, buckets: int) -> DataFrame:
     """The staged index: a row for each bucket of the historical digests."""
-    return stage(bucketed(groups, buckets).groupBy("bucket").applyInPandas(_build, INDEX_SCHEMA), "perfect_hash")
+    return stage(bucketed(groups, buckets).groupBy("bucket").applyInArrow(_build, INDEX_SCHEMA), "perfect_hash")
 
 
 def resolve(new_groups: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     """Every digest of history or the new rows once, with its winner, its rows and whether history had it."""
-    return bucketed(new_groups, buckets).groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_lookup, GROUP_SCHEMA)
+    return bucketed(new_groups, buckets).groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_lookup, GROUP_SCHEMA)
 
 
 def exact_dedup(history: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,14 +164,18 @@ def dedup_rows(rows: DataFrame) -> DataFrame:
     ship(rows.sparkSession)
     rows = stage(rows, "digests")
     old = digest_groups(rows.where("old"))
-    buckets = max(1, -(-rows.where("old").count() // BUCKET_KEYS))
+    buckets = max(1, -(-rows.count() // BUCKET_KEYS))
     groups = resolve(digest_groups(rows.where("not old")), build_index(old, buckets), buckets)
     joined = rows.join(groups, "digest")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "in_history")
 
 
 def op9_exact_mph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the row that stays for it; the rows of one half of the id's checksums play the history."""
+    """Every document with the row that stays for it.
+
+    ``documents`` has no history of its own, so the rows whose id's crc32 is even (about half; null ids are new rows)
+    play it. The result doesn't depend on the split: equal texts meet whether both are history, both new, or one each.
+    """
     old = F.coalesce(crc_mod(F.col("doc_id"), 2) == 0, F.lit(False))
     found = dedup_rows(digest_rows(table(spark, sf_dir, "documents"), old))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, stage, table
+from .common import lean, ship, stage, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -198,7 +198,7 @@ class Graph:
         self.spark = docs.sparkSession
         ship(self.spark)
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.rows = stage(self.docs.mapInArrow(_signed, "doc_id bigint, n bigint, digest binary, bands array<bigint>, sketch array<bigint>"), "signed")
+        self.rows = stage(self.docs.mapInArrow(lean(_signed), "doc_id bigint, n bigint, digest binary, bands array<bigint>, sketch array<bigint>"), "signed")
         sets = self.rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("min_doc"), F.first("doc_id").alias("some_doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         self.nodes = stage(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
         buckets = self.nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
@@ -224,10 +224,10 @@ class Graph:
         bitmap = wanted.select(spot.alias("spot")).groupBy(F.expr(f"spot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits"))
         docs = self.docs.withColumn("spot", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(64 * BITMAP_WORDS)))
         near = docs.join(F.broadcast(bitmap), F.expr("spot div 64") == F.col("word")).where("getbit(bits, cast(spot % 64 as int)) = 1")
-        sets = near.select("text").mapInArrow(_full_sets, "digest binary, members binary").dropDuplicates(["digest"])
+        sets = near.select("text").mapInArrow(lean(_full_sets), "digest binary, members binary").dropDuplicates(["digest"])
         sets = wanted.select("node", "digest").join(sets, "digest").select("node", "members")
         sided = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
-        found = stage(sided.mapInArrow(_confirmed, "a bigint, b bigint"), "links")
+        found = stage(sided.mapInArrow(lean(_confirmed), "a bigint, b bigint"), "links")
         self.edges = found if self.edges is None else self.edges.unionAll(found)
         self.roots = components(self.edges)
 

@@ -27,7 +27,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, table
+from .common import crc_mod, lean, ship, table, with_arrow
 
 FIT_DOCS = 4000
 FIT_LINES = 200
@@ -201,20 +201,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
         chosen.append((r["doc_id"],))
     if len(chosen) < len(sizes):
         texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id bigint")), "doc_id", "left_semi")
-    told = texts.select("doc_id", "quality", "text").mapInArrow(_described, "doc_id bigint, quality int, lines binary")
+    told = texts.select("doc_id", "quality", "text").mapInArrow(lean(_described), "doc_id bigint, quality int, lines binary")
     rows = sorted((r["doc_id"], bytes(r["lines"]), r["quality"]) for r in told.collect())
     whole = [(np.frombuffer(x, np.float32).reshape(-1, WIDTH), y) for _, x, y in rows]
     return fit([(x[k : k + FIT_LINES], y) for x, y in whole for k in range(0, len(x), FIT_LINES)])
 
 
-def _scores(shared: Broadcast):
+def _scores(shared: Broadcast, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field: Field | None = shared.value
         for batch in batches:
             out: list[float] = []
             group: list[tuple[np.ndarray, np.ndarray]] = []
             lines = 0
-            for t in batch.column(0):
+            for t in batch.column(at):
                 told = line_features(t.as_py())
                 if len(told[1]) > 64:  # long documents alone: padding is for like lengths
                     out += _weighted(field, group) + _weighted(field, [told])
@@ -246,9 +246,8 @@ def score_quality(docs: DataFrame, field: Field | None) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     kept = docs.drop("score")
-    ordered = kept.select("text", *[c for c in kept.columns if c != "text"])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema), "score double"])
-    return ordered.mapInArrow(_scores(spark.sparkContext.broadcast(field)), schema).select(*kept.columns, "score")
+    shared = spark.sparkContext.broadcast(field)
+    return with_arrow(kept, _scores(shared, kept.columns.index("text")), "score double")
 
 
 def in_training() -> object:
