@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlweave.llm.bpe import decode, default_vocabulary, encode
+from urlweave.llm.bpe import default_vocabulary, tokenise
 from urlweave.llm.common import WORD, ship, stage, table
 from urlweave.llm.line_dedup import dedup_lines
 from urlweave.llm.mixture import mix_documents
@@ -55,8 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, and whether they decode to the text."""
     path, pattern = default_vocabulary()
-    told = decode(encode(docs, path, pattern), path)
-    return told.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return tokenise(docs.select("doc_id", "lang", "source", "n_chars", "text"), path, pattern)
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near), ("mixture", mixture), ("byte_bpe", tokens)]
