@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,14 +59,53 @@ def test_query(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
-def test_shard_counts_scatter_like_draws(spark):
-    """Counts of a source per shard have the mean and about the variance of a multinomial draw."""
+def test_taken_by_brute_force_from_the_draws(spark, monkeypatch):
+    """Draws scatter as a multinomial; numbered, corrected, permuted and joined by hand they give the words taken."""
+    monkeypatch.setattr(M, "SHARD_SLOTS", 64)
+    monkeypatch.setattr(M, "RUN", 4)
     mix = M.Mix(spark.read.parquet(f"{SF}/documents.parquet"))
-    slots = mix.slots().withColumn("small_shard", F.expr("place div 64")).groupBy("small_shard", "source_at").agg(F.count("*").alias("n")).toPandas()
-    table = slots.pivot(index="small_shard", columns="source_at", values="n").fillna(0).iloc[:-1]
-    share = table.mean() / 64
-    ratio = (table.var() / (64 * share * (1 - share))).mean()
-    assert 0.7 < ratio < 1.3
+    sources = {r["source_at"]: r for r in mix.sources.collect()}
+    slots = {a: r["slots"] for a, r in sources.items()}
+    counts = {(r["shard"], r["source_at"]): r["drawn"] for r in mix.counts.collect()}
+    shards = sorted({s for s, _ in counts})
+    table = np.array([[counts.get((s, a), 0) for a in slots] for s in shards])
+    assert table.sum() == sum(slots.values()) and (table.sum(axis=1)[:-1] == 64).all()
+    share = np.array(list(slots.values())) / table.sum()
+    assert 0.7 < (table[:-1].var(axis=0) / (64 * share * (1 - share))).mean() < 1.3
+
+    places, spare = [], []  # (shard, source, j) that stay; shards of slots drawn beyond the target, in order
+    drawn = dict.fromkeys(slots, 0)
+    for a in sorted(slots):
+        for s in shards:
+            for _ in range(counts.get((s, a), 0)):
+                if drawn[a] < slots[a]:
+                    places.append((s, a, drawn[a]))
+                else:
+                    spare.append(s)
+                drawn[a] += 1
+    assert 0 < len(spare) < 0.1 * table.sum()
+    handed = iter(spare)
+    for a in sorted(slots):
+        places += [(next(handed), a, j) for j in range(drawn[a], slots[a])]
+    key = spark.createDataFrame([(a, j, j // sources[a]["blocks"], j % sources[a]["blocks"], sources[a]["blocks"]) for _, a, j in places], "a bigint, j bigint, epoch bigint, x bigint, blocks bigint")
+    block = {(r["a"], r["j"]): r["b"] for r in key.select("a", "j", M.permuted(F.col("x"), F.col("blocks"), mix.seed, F.col("a"), F.col("epoch")).alias("b")).collect()}
+    want = sorted((s, a, j // sources[a]["blocks"], block[a, j]) for s, a, j in places)
+    assert sorted((r["shard"], r["source_at"], r["epoch"], r["block"]) for r in mix.slots().collect()) == want
+    held = {}
+    for r in mix.segments().collect():
+        held.setdefault((r["source_at"], r["block"]), []).append((r["rid"], r["words"]))
+    taken = {}
+    for _, a, _, b in want:
+        for rid, words in held[a, b]:
+            taken[rid] = taken.get(rid, 0) + words
+    assert {r["rid"]: r["taken"] for r in mix.taken().collect()} == taken
+
+
+def test_located(spark):
+    ranges = [(0, 5, "a"), (5, 5, "none"), (5, 300, "b"), (300, 301, "c"), (301, 40_000, "d")]
+    points = [0, 4, 5, 63, 64, 299, 300, 301, 39_999]
+    got = M.located(spark.createDataFrame([(x,) for x in points], "x bigint"), "x", spark.createDataFrame(ranges, "low bigint, high bigint, name string")).collect()
+    assert sorted((r["x"], r["name"]) for r in got) == [(x, next(n for low, high, n in ranges if low <= x < high)) for x in points]
 
 
 def test_documents_of_the_mix(spark):
@@ -88,3 +128,11 @@ def test_odd_rows(spark):
     assert got == [(0, 2, 50_002, True), (1, 0, 0, True), (2, 0, 0, True), (3, 3, 6, True), (3, 3, 6, True), (5, 50_000, 50_002, True)]
     assert M.Mix(docs.limit(0)).by_row().collect() == []
     assert M.mix_documents(docs.limit(0)).collect() == []
+
+
+def test_clashing_names(spark):
+    names = ["_mix_row", "_MIX_PARTS", "_mix_copy", "rid", "shard", "a.b", "c`d"]
+    docs = spark.createDataFrame([(1, "x y", "s", *range(7)), (2, "z", None, *range(7))], ", ".join(["doc_id bigint", "text string", "source string", *(f"`{n.replace('`', '``')}` int" for n in names)]))
+    got = M.mix_documents(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in docs.collect()} and got.count()
