@@ -1,17 +1,24 @@
 """A hashed maximum-entropy language model: n-gram and skip features, class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). Classes: the HEAD most frequent tokens one each, all other
-words by a hash of their last three bytes. The first factor is a softmax over the classes with a bias and four
-features for each token: the hashed previous word, the n-gram of the two previous words' classes, and two skip
-features, the classes of the third and fourth and of the fifth and sixth word back. The second is the class's own maximum-entropy distribution over its words with the word's count as its only feature:
-(count + 1) / (tokens + words + 1), one outcome being any unknown word of the class. So all outcomes sum to 1.
+P(word | history) = P(group) * P(class | group) * P(bucket | class) * P(word | bucket), each but the last given the history.
+The HEAD most frequent tokens are classes of their own, all other words fall into CLASSES - HEAD classes by a
+hash of their last three bytes; WIDTH classes in order are a group; inside a class a word falls into one of BUCKETS
+buckets by its first three bytes and its length. So a token costs softmaxes over 8, 8 and 16 outcomes, not one over all.
+
+Groups and classes have a bias and four features of the history: the hashed previous word, the n-gram of
+the two previous words' classes, and two skip features, the classes of the third and fourth and of the fifth and sixth
+word back. Buckets, which tell words of a class apart, have a bias, the hashed previous word and, skipping it, the class of
+the word before. Inside a bucket the word's count is the only feature: (count + 1) / (tokens + words + 1), one outcome being any
+unknown word of the bucket. So all outcomes sum to 1.
 
 Training takes distributed gradient steps. In each, every task works out the gradient on its documents (observed minus
-expected counts of each feature with each class) in numpy batches; blocks of it are summed by a shuffle, and the driver
-applies the step, scaled for each weight by what it expects. At weights of zero the expected counts are known without
+expected counts of each feature with each outcome) in numpy batches; stretches of it are summed by shuffles, a bounded number of
+tasks' sums at a time, and the driver applies the step, scaled for each weight by what it expects. At weights of zero the expected counts are known without
 a softmax, so the start gathers observed counts only and takes the log of their ratio to the expected; ``PASSES``
-gradient steps follow. The hashed words have ``KIND`` slots at least, doubled with the counted tokens up to ``MOST_SLOTS``; so the
-model is a table of bounded size, the only thing broadcast besides the ``LEXICON`` most frequent words.
+gradient steps follow, so the documents are read 1 + PASSES times for the weights. The hashed words have ``KIND`` slots at
+least, doubled with the counted tokens up to ``MOST_SLOTS``; so the model is a table of bounded size, the only thing broadcast
+besides the lexicon: the most frequent words down to a count that at most ``LEXICON`` words reach, found from a
+histogram of the counts.
 
 Counts cover the whole training part: tasks count in bounded dictionaries, a shuffle adds up. The counts of
 frequent words travel in the lexicon; a document's other words are joined to the count table, so the table may have any
@@ -29,26 +36,31 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, stage, table
+from .common import crc_mod, lean, ship, stage, table
 
 #: The end of a text as a token; no word holds a space.
 END = b" "
 
 HEAD = 16
 CLASSES = 64
+#: Classes of a group, and groups.
+WIDTH = 8
+GROUPS = CLASSES // WIDTH
+BUCKETS = 16
+#: Numbers of the bucket's two features: hashed previous word, class of the word before it.
+NEAR = 512
 #: Numbers of a feature: all pairs of classes fit, words are hashed.
 KIND = 4096
 KINDS = 4
-FEATURES = KINDS * KIND
 #: The hashed words' numbers come last and double while they'd have more training tokens each, up to so many.
 TOKENS_A_SLOT = 1024
-MOST_SLOTS = 16_384
+MOST_SLOTS = 8192
 LEXICON = 65_536
 PASSES = 2
 #: Pseudo-count that holds back weights of rare features.
@@ -58,11 +70,13 @@ START = 0.4
 
 COUNTER_WORDS = 200_000
 #: Characters whose tokens are laid out at once, unless one text has more.
-GROUP_CHARS = 100_000
-TOKENS_AT_ONCE = 4096
-#: Tokens whose expected counts are summed at once.
-SUMMED_AT_ONCE = 16_384
-BLOCK_ROWS = 256
+GROUP_CHARS = 800_000
+TOKENS_AT_ONCE = 16_384
+#: Numbers of a stretch of the summed table, and tasks whose stretches are summed at once.
+STRETCH = 65_536
+FAN_IN = 64
+#: Log-spaced steps of the counts' histogram, to a doubling.
+STEPS = 8
 
 
 _BASE, _SALT = 0x9E3779B97F4A7C15, np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
@@ -87,6 +101,16 @@ def class_column(word: Column) -> Column:
     return F.lit(HEAD).cast("bigint") + F.shiftright(last * F.lit(2654435761).cast("bigint"), 15) % (CLASSES - HEAD)
 
 
+def bucket_number(first: np.ndarray | int, size: np.ndarray | int) -> np.ndarray | int:
+    """The bucket of words from their first three bytes as a number and their length; ``bucket_column`` is the same in SQL."""
+    return ((first * 2246822519 + size * 3266489917) >> 17) % BUCKETS
+
+
+def bucket_column(word: Column) -> Column:
+    first = F.conv(F.hex(F.substring(word, 1, 3)), 16, 10).cast("bigint")
+    return F.shiftright(first * F.lit(2246822519).cast("bigint") + F.octet_length(word) * F.lit(3266489917).cast("bigint"), 17) % BUCKETS
+
+
 class Powers:
     """Powers of the hash's base and of its inverse modulo 2^64, as many as asked for so far."""
 
@@ -108,7 +132,7 @@ _POWERS = Powers()
 
 
 class Tokens:
-    """The tokens of some texts as arrays, without an object for each word: hash, class before the head, where texts start.
+    """The tokens of some texts as arrays, without an object for each word: hash, class before the head, bucket, where texts start.
 
     ``word`` gives a token's bytes; ends of texts have their own hash.
     """
@@ -129,6 +153,11 @@ class Tokens:
         for k in (2, 3):
             at = self.stop - k
             last += np.where(at >= self.start, a[np.maximum(at, 0)].astype(np.int64) << (8 * (k - 1)), 0)
+        first = a[self.start].astype(np.int64)
+        for k in (1, 2):
+            at = self.start + k
+            inside_word = at < self.stop
+            first = np.where(inside_word, (first << 8) + a[np.minimum(at, len(a) - 1)], first)
         text = np.searchsorted(edges, self.start, side="right")
         n = np.bincount(text, minlength=len(raw)) + 1
         self.starts = np.cumsum(n) - n
@@ -137,6 +166,8 @@ class Tokens:
         self.hash[place] = h
         self.cls = np.full(len(self.hash), class_number(END[0]), np.int64)
         self.cls[place] = class_number(last)
+        self.bucket = np.full(len(self.hash), bucket_number(END[0], 1), np.int64)
+        self.bucket[place] = bucket_number(first, self.stop - self.start)
         self.at = np.full(len(self.hash), -1)
         self.at[place] = np.arange(len(text))
 
@@ -177,8 +208,8 @@ def word_slots(tokens: int) -> int:
     return slots
 
 
-def features(h: np.ndarray, c: np.ndarray, starts: np.ndarray, slots: int) -> np.ndarray:
-    """The feature numbers of each token, from the tokens' hashes and classes and where texts start; 0 stands before a text."""
+def features(h: np.ndarray, c: np.ndarray, starts: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The feature numbers of each token for groups and classes, and for buckets, from the tokens' hashes and classes and where texts start; 0 stands before a text."""
     place = np.arange(len(c)) - np.repeat(starts, np.diff([*starts, len(c)]))
 
     def back(x: np.ndarray, k: int) -> np.ndarray:
@@ -187,33 +218,78 @@ def features(h: np.ndarray, c: np.ndarray, starts: np.ndarray, slots: int) -> np
         out[place < k] = 0
         return out
 
-    word = ((back(h, 1) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(slots)
+    word = (back(h, 1) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
     pairs = [(back(c, k) * CLASSES + back(c, k + 1)) % KIND for k in (1, 3, 5)]
-    return np.stack([*(KIND * j + x for j, x in enumerate(pairs)), KIND * len(pairs) + word.astype(np.int64)], axis=1)
-
-
-def _sides(f: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weights summed, a row for each token, less the row's largest."""
-    z = weights[f[:, 0]]
-    for j in range(1, KINDS):
-        z += weights[f[:, j]]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    return z
-
-
-def log_probabilities(f: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of the classes, a row for each token."""
-    z = _sides(f, bias, weights)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
-def probabilities(f: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    p = _sides(f, bias, weights)
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    return p
+    far = np.stack([*(KIND * j + x for j, x in enumerate(pairs)), KIND * len(pairs) + (word % np.uint64(slots)).astype(np.int64)], axis=1)
+    return far, np.stack([(word % np.uint64(NEAR)).astype(np.int64), NEAR + back(c, 2)], axis=1)
+
+
+class Level:
+    """One softmax of the factoring: its table of weights, a row for each feature in each context (what is chosen before), and the bias rows behind."""
+
+    def __init__(self, edges: list[int], contexts: int, width: int):
+        """edges: where the kinds' feature numbers start and end."""
+        self.edges, self.contexts, self.width = edges, contexts, width
+        self.kinds = len(edges) - 1
+        self.rows = (edges[-1] + 1) * contexts
+        self.weights = np.zeros((self.rows, width), np.float32)
+
+    def rows_of(self, f: np.ndarray, context: np.ndarray | int) -> np.ndarray:
+        """Row numbers of the features and, last, of the bias."""
+        rows = np.empty((len(f), self.kinds + 1), np.int64)
+        rows[:, :-1] = f
+        rows[:, -1] = self.edges[-1]
+        return rows * self.contexts + (context[:, None] if isinstance(context, np.ndarray) else context)
+
+    def stretches(self) -> list[tuple[int, int]]:
+        """First and last-but-one row of each kind, the bias last."""
+        ends = [*self.edges, self.edges[-1] + 1]
+        return [(a * self.contexts, b * self.contexts) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def sides(self, rows: np.ndarray) -> np.ndarray:
+        """Weights summed, a row for each token, less the row's largest."""
+        z = self.weights[rows[:, 0]]
+        for j in range(1, rows.shape[1]):
+            z += self.weights[rows[:, j]]
+        z -= z.max(axis=1, keepdims=True)
+        return z
+
+    def probabilities(self, rows: np.ndarray) -> np.ndarray:
+        p = np.exp(self.sides(rows))
+        p /= p.sum(axis=1, keepdims=True)
+        return p
+
+    def log_probability(self, rows: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        """Natural log probability of each token's outcome."""
+        z = self.sides(rows)
+        return z[np.arange(len(z)), outcome] - np.log(np.exp(z).sum(axis=1))
+
+    def observe(self, total: np.ndarray, rows: np.ndarray, outcome: np.ndarray) -> None:
+        for j, (low, high) in enumerate(self.stretches()):
+            total[low:high] += np.bincount((rows[:, j] - low) * self.width + outcome, minlength=(high - low) * self.width).reshape(-1, self.width)
+
+    def expect(self, total: np.ndarray, rows: np.ndarray) -> None:
+        p = np.empty((len(rows), self.width), np.float32)
+        for i in range(0, len(rows), TOKENS_AT_ONCE):
+            p[i : i + TOKENS_AT_ONCE] = self.probabilities(rows[i : i + TOKENS_AT_ONCE])
+        outcomes, flat = np.arange(self.width), p.ravel()
+        for j, (low, high) in enumerate(self.stretches()):
+            total[low:high] += np.bincount(((rows[:, j, None] - low) * self.width + outcomes).ravel(), weights=flat, minlength=(high - low) * self.width).reshape(-1, self.width)
+
+    def start(self, seen: np.ndarray) -> None:
+        """Log odds of the observed counts against those of the bias alone, smoothed; they count in part, as the features overlap."""
+        bias = seen[-self.contexts :] + 0.5
+        share = bias / bias.sum(axis=1, keepdims=True)
+        alone = np.tile(share, (self.edges[-1], 1))
+        held = seen[: -self.contexts]
+        odds = np.log((held + SMOOTH * alone) / (held.sum(axis=1, keepdims=True) + SMOOTH)) - np.log(alone)
+        self.weights = np.concatenate([START * odds, np.log(share)]).astype(np.float32)
+
+    def step(self, seen: np.ndarray, hoped: np.ndarray) -> None:
+        """Gradient over expected count; the features share a token's error; bounded steps."""
+        step = np.clip((seen - hoped) / (hoped + SMOOTH), -1.5, 1.5) / self.kinds
+        step[-self.contexts :] = np.clip(step[-self.contexts :] * self.kinds, -0.5, 0.5) / 4
+        self.weights = (self.weights + step).astype(np.float32)
 
 
 class Trained:
@@ -224,9 +300,31 @@ class Trained:
         known = hashes([w for w, _ in top])
         order = np.argsort(known)
         self.known, self.logs = known[order], np.log10(np.array([n for _, n in top], np.float64) + 1)[order]
+        #: log10 of each bucket's tokens, words and one, a row for each class.
         self.log_room = log_room
-        self.bias, self.weights = np.zeros(CLASSES, np.float32), np.zeros((FEATURES - KIND + slots, CLASSES), np.float32)
         self.slots = slots
+        far = [*(KIND * j for j in range(KINDS)), KIND * (KINDS - 1) + slots]
+        self.levels = [Level(far, 1, GROUPS), Level(far, GROUPS, WIDTH), Level([0, NEAR, NEAR + CLASSES], CLASSES, BUCKETS)]
+
+    def choices(self, tokens: Tokens) -> Iterator[tuple[Level, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level: the tokens that it tells apart, their rows and outcomes. A word of the head has its class alone."""
+        c = self.classes(tokens)
+        far, near = features(tokens.hash, c, tokens.starts, self.slots)
+        every, inside = np.arange(len(c)), np.flatnonzero(c >= HEAD)
+        group = c // WIDTH
+        yield self.levels[0], every, self.levels[0].rows_of(far, 0), group
+        yield self.levels[1], every, self.levels[1].rows_of(far, group), c % WIDTH
+        yield self.levels[2], inside, self.levels[2].rows_of(near[inside], c[inside]), tokens.bucket[inside]
+
+    def log_factors(self, tokens: Tokens) -> np.ndarray:
+        """log10 of the probability of each token's bucket, less that of the bucket's room."""
+        out = np.zeros(len(tokens.hash))
+        for level, at, rows, outcome in self.choices(tokens):
+            for k in range(0, len(at), TOKENS_AT_ONCE):
+                part = slice(k, k + TOKENS_AT_ONCE)
+                out[at[part]] += level.log_probability(rows[part], outcome[part])
+        c = tokens.cls
+        return out / math.log(10) - self.log_room[c, np.where(c < HEAD, 0, tokens.bucket)]
 
     def classes(self, tokens: Tokens) -> np.ndarray:
         c = tokens.cls
@@ -256,79 +354,55 @@ def grouped(texts: Iterable[str | None]) -> Iterator[Tokens]:
 
 
 def _sums(shared: Broadcast, expected: bool):
-    """Blocks of the table of observed (or expected) counts of features with classes, and row -1: the classes alone."""
+    """Stretches of the levels' tables of observed (or expected) counts of features with outcomes, and the task's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Trained = shared.value
-        n_features = len(model.weights)
-        total = np.zeros((CLASSES, n_features)) if expected else np.zeros((n_features, CLASSES))
-        alone = np.zeros(CLASSES)
-        spots: list[np.ndarray] = []
-        # The numbers of each feature, and where they end.
-        kinds = [(KIND * j, KIND * (j + 1)) for j in range(KINDS - 1)] + [(KIND * (KINDS - 1), n_features)]
+        totals = [np.zeros(level.weights.shape) for level in model.levels]
         for batch in batches:
             for tokens in grouped(t.as_py() for t in batch.column(0)):
-                c = model.classes(tokens)
-                f = features(tokens.hash, c, tokens.starts, model.slots)
-                for k in range(0, len(c), SUMMED_AT_ONCE):
-                    part, cls = f[k : k + SUMMED_AT_ONCE], c[k : k + SUMMED_AT_ONCE]
+                for total, (level, _, rows, outcome) in zip(totals, model.choices(tokens), strict=True):
                     if expected:
-                        p = np.empty((CLASSES, len(part)))
-                        for i in range(0, len(part), TOKENS_AT_ONCE):
-                            p[:, i : i + TOKENS_AT_ONCE] = probabilities(part[i : i + TOKENS_AT_ONCE], model.bias, model.weights).T
-                        alone += p.sum(axis=1)
-                        for j, (low, high) in enumerate(kinds):
-                            at = part[:, j] - low
-                            for k_class in range(CLASSES):
-                                total[k_class, low:high] += np.bincount(at, weights=p[k_class], minlength=high - low)
+                        level.expect(total, rows)
                     else:
-                        alone += np.bincount(cls, minlength=CLASSES)
-                        spots.append((part * CLASSES + cls[:, None]).ravel())
-                        if len(spots) > 64:
-                            total += np.bincount(np.concatenate(spots), minlength=total.size).reshape(total.shape)
-                            spots.clear()
-        if spots:
-            total += np.bincount(np.concatenate(spots), minlength=total.size).reshape(total.shape)
-        if expected:
-            total = np.ascontiguousarray(total.T)
-        blocks = [total[k : k + BLOCK_ROWS] for k in range(0, n_features, BLOCK_ROWS)] + [alone[None]]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.astype(np.float32).tobytes() for b in blocks], pa.binary())], names=["block", "values"])
+                        level.observe(total, rows, outcome)
+        flat = np.concatenate([t.ravel() for t in totals]).astype(np.float32)
+        parts = [flat[k : k + STRETCH].tobytes() for k in range(0, len(flat), STRETCH)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["stretch", "task", "vals"])
 
     return run
 
 
-def _add(part: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(v, np.float32).astype(np.float64) for v in part["values"])
-    return pd.DataFrame({"block": part["block"].iloc[:1], "values": [total.tobytes()]})
+def _add(part: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(v.as_buffer(), np.float32).astype(np.float64) for v in part["vals"])
+    return pa.table({"stretch": part["stretch"][:1], "task": part["task"][:1], "vals": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def table_of(train: DataFrame, model: Trained, expected: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The summed table and the classes' row, on the driver: as many numbers as the model has weights."""
+def table_of(train: DataFrame, model: Trained, expected: bool) -> list[np.ndarray]:
+    """The levels' summed tables, on the driver: as many numbers as the model has weights. FAN_IN tasks' sums meet at a time."""
     shared = train.sparkSession.sparkContext.broadcast(model)
-    parts = train.mapInArrow(_sums(shared, expected), "block int, values binary")
-    rows = parts.groupBy("block").applyInPandas(_add, "block int, values binary").collect()
+    schema = "stretch int, task int, vals binary"
+    parts = train.mapInArrow(lean(_sums(shared, expected)), schema)
+    tasks = max(1, train.rdd.getNumPartitions())
+    while tasks > 0:
+        tasks = 0 if tasks <= FAN_IN else -(-tasks // FAN_IN)
+        parts = parts.withColumn("task", F.expr(f"task div {FAN_IN}").cast("int")).groupBy("stretch", "task").applyInArrow(_add, schema)
+    found = {r["stretch"]: np.frombuffer(r["vals"], np.float32) for r in parts.collect()}
     shared.unpersist()
-    blocks = {r["block"]: np.frombuffer(r["values"]).reshape(-1, CLASSES) for r in rows}
-    if not blocks:
-        return np.zeros(model.weights.shape), np.zeros(CLASSES)
-    last = max(blocks)
-    return np.concatenate([blocks[k] for k in range(last)]), blocks[last][0]
+    size = sum(level.weights.size for level in model.levels)
+    flat = np.concatenate([found[k] for k in range(len(found))]).astype(np.float64) if found else np.zeros(size)
+    ends = np.cumsum([level.weights.size for level in model.levels])
+    return [x.reshape(level.weights.shape) for x, level in zip(np.split(flat, ends[:-1]), model.levels, strict=True)]
 
 
 def train_classes(train: DataFrame, model: Trained) -> Trained:
-    """Fit the bias and the weights on all training texts."""
-    seen, alone = table_of(train, model, expected=False)
-    bias = np.log((alone + 0.5) / (alone + 0.5).sum())
-    share = (seen + SMOOTH * np.exp(bias)) / (seen.sum(axis=1, keepdims=True) + SMOOTH)
-    weights = START * (np.log(share) - bias)
-    model.bias, model.weights = bias.astype(np.float32), weights.astype(np.float32)
+    """Fit the weights on all training texts."""
+    seen = table_of(train, model, expected=False)
+    for level, x in zip(model.levels, seen, strict=True):
+        level.start(x)
     for _ in range(PASSES):
-        hoped, hoped_alone = table_of(train, model, expected=True)
-        # Gradient over expected count; the features share a token's error; bounded steps.
-        step = (seen - hoped) / (hoped + SMOOTH)
-        weights = weights + np.clip(step, -1.5, 1.5) / KINDS
-        bias = bias + np.clip((alone - hoped_alone) / (hoped_alone + SMOOTH), -0.5, 0.5) / 4
-        model.bias, model.weights = bias.astype(np.float32), weights.astype(np.float32)
+        for level, x, hoped in zip(model.levels, seen, table_of(train, model, expected=True), strict=True):
+            level.step(x, hoped)
     return model
 
 
@@ -340,19 +414,13 @@ def _scored(shared: Broadcast):
         for batch in batches:
             n_tokens, n_known, logs, classes, rare, times = [], [], [], [], [], []
             for tokens in grouped(t.as_py() for t in batch.column(2)):
-                cls, log, starts = model.classes(tokens), model.log_counts(tokens), tokens.starts
-                f = features(tokens.hash, cls, starts, model.slots)
-                of_class = np.empty(len(cls))
-                for k in range(0, len(cls), TOKENS_AT_ONCE):
-                    part = slice(k, k + TOKENS_AT_ONCE)
-                    lp = log_probabilities(f[part], model.bias, model.weights)
-                    of_class[part] = lp[np.arange(len(lp)), cls[part]]
-                of_class = of_class / math.log(10) - model.log_room[cls]
+                log, starts = model.log_counts(tokens), tokens.starts
+                factors = model.log_factors(tokens)
                 known = ~np.isnan(log)
                 logs += np.add.reduceat(np.where(known, log, 0.0), starts).tolist()
                 n_known += np.add.reduceat((known & (log > 0)).astype(np.int64), starts).tolist()
-                classes += np.add.reduceat(of_class, starts).tolist()
-                ends = np.append(starts[1:], len(cls))
+                classes += np.add.reduceat(factors, starts).tolist()
+                ends = np.append(starts[1:], len(log))
                 n_tokens += (ends - starts).tolist()
                 unsure = np.flatnonzero(~known)
                 cuts = np.searchsorted(unsure, ends)
@@ -365,26 +433,42 @@ def _scored(shared: Broadcast):
     return run
 
 
+def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The words of all counts down to one that at most LEXICON words reach, the most frequent first; the first HEAD whatever their counts."""
+    step = F.floor(F.log2("n") * STEPS)
+    held = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
+    least, room = None, LEXICON
+    for r in sorted(held, key=lambda r: -r["step"]):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["least"]
+    first = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    rest = counts.where(F.col("n") >= least).collect() if least is not None else []
+    found = {bytes(r["word"]): r["n"] for r in [*first, *rest]}
+    return sorted(found.items(), key=lambda x: (-x[1], x[0]))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text, held_out to the contract's columns; learns from the rows that aren't held out."""
     spark = docs.sparkSession
     ship(spark)
     train = docs.where("not held_out").select("text")
-    counted = train.mapInArrow(_count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = train.mapInArrow(lean(_count), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stage(counted, "counts")
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(LEXICON).collect()]
+    top = most_frequent(counts)
     head = [w for w, _ in top[:HEAD]]
-    # The class's room: its tokens, its words and one for the unknown.
+    # The bucket's room: its tokens, its words and one for the unknown. A class of the head has one bucket.
     place = F.coalesce(*(F.when(F.col("word") == F.lit(bytearray(w)), F.lit(i).cast("bigint")) for i, w in enumerate(head)), class_column(F.col("word")))
-    room = np.ones(CLASSES)
+    room = np.ones((CLASSES, BUCKETS))
     tokens = words = 0
-    for r in counts.groupBy(place.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-        room[r["c"]] += r["n"] + r["words"]
+    for r in counts.groupBy(place.alias("c"), F.when(place < HEAD, 0).otherwise(bucket_column(F.col("word"))).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        room[r["c"], r["b"]] += r["n"] + r["words"]
         tokens += r["n"]
         words += r["words"]
     model = train_classes(train, Trained(top, np.log10(room), word_slots(tokens)))
     shared = spark.sparkContext.broadcast(model)
-    told = docs.select("doc_id", "held_out", "text").mapInArrow(_scored(shared), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, classes double, rare array<binary>, times array<bigint>")
+    told = docs.select("doc_id", "held_out", "text").mapInArrow(lean(_scored(shared)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, classes double, rare array<binary>, times array<bigint>")
     told = stage(told.withColumn("rid", F.monotonically_increasing_id()), "scored")
     asked = told.where(F.size("rare") > 0).select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("rid", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     found = asked.join(counts, "word").groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum("times").alias("more_known"))
