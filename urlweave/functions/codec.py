@@ -19,6 +19,9 @@ from .let import let
 ALWAYS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~!$'()*,"
 NOT_IN_QUERY = "+&=;"
 
+# What form encoding (the URL standard's application/x-www-form-urlencoded) leaves as it is; a space is a plus.
+FORM_SAFE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._*"
+
 _HEX = "[0-9A-Fa-f]"
 _MORE = "%[89ABab]" + _HEX
 # Well-formed UTF-8 (Unicode, table 3-7) in percent escapes, by number of bytes.
@@ -36,7 +39,8 @@ WELL_FORMED = "|".join([
 ])
 
 
-def _class(chars: str) -> str:
+def char_class(chars: str) -> str:
+    """The characters as the inside of a regular expression's class."""
     return "".join("\\" + c if re.match(r"[^A-Za-z0-9]", c) else c for c in chars)
 
 
@@ -69,21 +73,33 @@ class Quoter:
     def __call__(self, text: Column) -> Column:
         return let(text, self._quoted)
 
+    def _encoded(self, text: Column) -> Column:
+        """A text without escapes: form encoding, whose escapes all stand for a byte, then the characters that stay put back."""
+        out = F.url_encode(text)
+        if not self.qs:
+            out = F.replace(out, F.lit("+"), F.lit("%20"))
+        for c in "".join(dict.fromkeys(self.stays)):
+            if c not in FORM_SAFE:
+                out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+        return out
+
     def _quoted(self, text: Column) -> Column:
-        stays = _class(self.stays)
-        pieces = F.regexp_extract_all(text, F.lit(rf"(?:%{_HEX}{{2}})|[{stays}]+|[\s\S]" if self.requote else rf"[{stays}]+|[\s\S]"), F.lit(0))
+        if not self.requote:
+            return self._encoded(text)
+        stays = char_class(self.stays)
+        pieces = F.regexp_extract_all(text, F.lit(rf"(?:%{_HEX}{{2}})|[{stays}]+|[\s\S]"), F.lit(0))
 
         def piece(x: Column) -> Column:
             done = F.when(x.rlike(rf"^[{stays}]"), x)
             if self.qs:
                 done = done.when(x == " ", F.lit("+"))
-            if self.requote:
-                upper = F.upper(x)
-                plain = [e for e, c in zip(_escapes(self.stays), self.stays, strict=True) if c not in self.protected]
-                done = done.when(x.rlike("^%.") & upper.isin(plain), decode_utf8(upper)).when(x.rlike("^%."), upper)
+            upper = F.upper(x)
+            plain = [e for e, c in zip(_escapes(self.stays), self.stays, strict=True) if c not in self.protected]
+            done = done.when(x.rlike("^%.") & upper.isin(plain), decode_utf8(upper)).when(x.rlike("^%."), upper)
             return done.otherwise(encode_utf8(x))
 
-        return F.when(text.rlike(rf"^[{stays}]*\z"), text).otherwise(F.array_join(F.transform(pieces, piece), ""))
+        quoted = F.when(F.contains(text, F.lit("%")), F.array_join(F.transform(pieces, piece), "")).otherwise(self._encoded(text))
+        return F.when(text.rlike(rf"^[{stays}]*\z"), text).otherwise(quoted)
 
 
 @dataclass(frozen=True)
@@ -118,7 +134,12 @@ class Unquoter:
                 done = done.when(upper.isin(_escapes("".join(again))), upper)
             return done.otherwise(decode_utf8(upper))
 
-        return F.when(~F.contains(text, F.lit("%")), literal(text)).otherwise(F.array_join(F.transform(pieces, piece), ""))
+        done = F.when(~F.contains(text, F.lit("%")), literal(text))
+        if not again and self.unsafe in ("", "+"):
+            # Form decoding does the same if all escapes are well-formed; it takes plus signs for spaces, too.
+            plus = text if spaced else F.replace(text, F.lit("+"), F.lit("%2B"))
+            done = done.when(~F.contains(F.regexp_replace(text, WELL_FORMED, ""), F.lit("%")), F.try_url_decode(plus))
+        return done.otherwise(F.array_join(F.transform(pieces, piece), ""))
 
 
 QUOTER = Quoter()

@@ -1,54 +1,50 @@
-"""SQL names for what has no column expression to offer SQL: host coding, human quoting, and query pairs as a table.
+"""SQL names for what SQL text needs most: host coding, human quoting, and query pairs as a table.
 
 In SQL text: ``url_encode_host(host)``, ``url_decode_host(host)``, ``url_human_quote(text, unsafe)``,
-``url_float_text(x)``, and ``FROM pages, LATERAL url_query_pairs(query)``. All else is a column expression: give a
-DataFrame its URL columns, then ``createOrReplaceTempView``.
+and ``FROM pages, LATERAL url_query_pairs(query)``. All else is a column expression: give a
+DataFrame its URL columns, then ``createOrReplaceTempView``. All but the hosts are SQL functions, without Python.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from urllib.parse import unquote_to_bytes
-
 import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..session import ship
 from . import codec
-from .hosts import decode_host, encode_host
-from .urls import float_text, human_quote
+from .hosts import coded_name, readable_name
+from .urls import UNPRINTABLE
+
+_CLASS = rf"concat(regexp_replace(concat('%', unsafe), r'([^A-Za-z0-9])', r'\\$1'), r'{UNPRINTABLE}')"
+_PLAIN = rf"array_join(transform(regexp_extract_all({{}}, r'(?:{codec.WELL_FORMED})|[^%]+|%', 0), p -> if(length(p) > 1 and startswith(p, '%'), decode(unhex(replace(p, '%', '')), 'UTF-8'), replace(p, '+', ' '))), '')"
+
+FUNCTIONS = [
+    f"""url_human_quote(text STRING, unsafe STRING) RETURNS STRING RETURN array_join(transform(
+        regexp_extract_all(text, concat('[', {_CLASS}, ']|[^', {_CLASS}, ']+'), 0),
+        x -> if(regexp_like(x, concat('[', {_CLASS}, ']')), regexp_replace(hex(encode(x, 'UTF-8')), '(..)', '%$1'), x)), '')""",
+    f"""url_query_pairs(query STRING) RETURNS TABLE (position INT, key STRING, value STRING) RETURN
+        SELECT pos, {_PLAIN.format("substring_index(col, '=', 1)")}, {_PLAIN.format("if(instr(col, '=') > 0, substring(col, instr(col, '=') + 1), '')")}
+        FROM posexplode(if(query <> '', split(query, '&'), array()))""",
+]
 
 
 @pandas_udf(StringType())
 def _encode(host: pd.Series) -> pd.Series:
-    """The encoded host, validated; null if it is none."""
-    return pd.Series([None if h is None else encode_host(h, True)[0] for h in host], dtype=object)
+    """A name's coded form, names in ASCII in lower case; null if there is none."""
+    return pd.Series([None if h is None else h.lower() if h.isascii() else coded_name(h) for h in host], dtype=object)
 
 
 @pandas_udf(StringType())
 def _decode(host: pd.Series) -> pd.Series:
-    return pd.Series([None if h is None else decode_host(h) for h in host], dtype=object)
-
-
-def _plain(text: str) -> str:
-    return re.sub(codec.WELL_FORMED, lambda m: unquote_to_bytes(m[0]).decode(), text.replace("+", " "))
-
-
-class QueryPairs:
-    """A row for each parameter of a query string; none for null or ""."""
-
-    def eval(self, query: str) -> Iterator[tuple[int, str, str]]:
-        for k, part in enumerate(query.split("&") if query else []):
-            key, _, value = part.partition("=")
-            yield k, _plain(key), _plain(value)
+    return pd.Series([None if h is None else readable_name(h) for h in host], dtype=object)
 
 
 def register(spark: SparkSession) -> None:
     """Register the functions in a session."""
     ship(spark)
-    for name, f in (("url_encode_host", _encode), ("url_decode_host", _decode), ("url_human_quote", human_quote), ("url_float_text", float_text)):
-        spark.udf.register(name, f)
-    spark.udtf.register("url_query_pairs", udtf(QueryPairs, returnType="position int, key string, value string"))
+    spark.udf.register("url_encode_host", _encode)
+    spark.udf.register("url_decode_host", _decode)
+    for function in FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {function}")
