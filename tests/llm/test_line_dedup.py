@@ -126,3 +126,21 @@ def test_window_after_a_frequent_line(spark):
             assert got[100 + 3 * p + k] == [f"head {p} {k}", f"tail {p} {k}"]
         assert set(run[j] for j in range(3) if "licence" not in run[j]) <= set(got[100 + 3 * p])
     assert got[1] == docs[-1][1].split("\n")
+
+
+def test_a_long_text_of_equal_lines(spark):
+    """Lines that repeat with a period, ten thousands of them, in two documents."""
+    line = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    docs = [(1, "\n".join([line("a")] * 20_000)), (2, "\n".join([line("a")] * 20_000 + ["end"])), (3, "\n".join([line("b"), line("c"), "short"] * 5000))]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got[1] == (line("a"), 19_999) and got[2] == ("end", 20_000)
+    assert got[3][0].split("\n")[:3] == [line("b"), line("c"), "short"] and line("b") not in got[3][0].split("\n")[3:] and line("c") not in got[3][0].split("\n")[3:]
+
+
+def test_clashing_names(spark):
+    names = ["_gone_id", "_GONE", "_text_hash", "_gone_hash", "gram", "n_lines", "a.b", "c`d"]
+    long = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, long, *range(8)), (2, f"{long}\nend", *range(8))], ", ".join(["doc_id bigint", "text string", *(f"`{n.replace('`', '``')}` int" for n in names)]))
+    got = L.dedup_lines(docs)
+    assert got.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_removed"]
+    assert [(r["text"], r["_GONE"], r["n_removed"]) for r in got.orderBy("doc_id").collect()] == [(long, 1, 0), ("end", 1, 1)]

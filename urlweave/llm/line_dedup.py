@@ -5,7 +5,9 @@ that holds at least ``GRAM_WORDS`` words; a window is the shortest run that hold
 the gram of least hash (the last of equals) is selected: so a run of RUN_WORDS or more words that two places share
 has a gram selected in both, and what is shorter than GRAM_WORDS is never looked at. Selected grams, and the whole
 windows beside them, are joined to their first place, documents in order of id: the first place of a frequent gram may be
-followed by other lines, that of a window is followed by the window's own. Each match is extended both ways, line by line, while the lines agree,
+followed by other lines, that of a window is followed by the window's own. Where a document repeats itself, only its first
+place of a fingerprint meets another document; each further one meets the place before it in the document, so that
+lines that repeat with one period are one match, however many they are. Each match is extended both ways, line by line, while the lines agree,
 and the lines of the later place are deleted. A line that goes always has an equal one at an earlier place, so
 the first copy of every line stays, and every line of a window of whole lines that an earlier place has goes. A passage that starts
 or ends inside a line is not found as such.
@@ -17,7 +19,8 @@ never paired with each other.
 Defined cases: a null text stays null and an empty one empty; a document of fewer than RUN_WORDS words may lose
 lines only to a match that starts in another document's gram; rows that repeat both id and text are one document
 and are cleaned alike; of rows with one id, the order is by text hash; null ids come first; an empty table gives
-an empty table; the columns of the input stay, with ``text`` cleaned and ``n_chars`` brought up to date.
+an empty table; the columns of the input stay whatever their names, with ``text`` cleaned and ``n_chars`` brought up to
+date; columns named n_lines or n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -25,14 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, stage, table
+from .common import SPACE, WORD, fresh, quoted, stage, table
 
 GRAM_WORDS = 25
 RUN_WORDS = 50
 
-#: Names that the documents' own columns must not have.
-HASH, GONE = "_line_text_hash", "_line_gone"
-
 
 def _worded(lines: Column) -> Column:
     """(hash, words, place among all lines) of the lines that hold words."""
@@ -71,8 +71,12 @@ def deleted_lines(lines: DataFrame) -> DataFrame:
     """doc_id, text_hash and the sorted places (among all lines) that go."""
     grams = stage(selected_grams(lines), "grams")
     first = grams.groupBy("gram").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "f")
+    own = Window.partitionBy("gram", "doc_id", "text_hash").orderBy("at")
+    placed = grams.join(first, "gram").withColumn("before", F.lag("at").over(own))
+    again = F.struct("doc_id", "text_hash", F.col("before").alias("at"))
+    placed = placed.withColumn("f", F.when(F.col("before").isNull(), F.col("f")).otherwise(again)).drop("before")
     here = F.struct("doc_id", "text_hash", "at")
-    later = grams.join(first, "gram").where(~here.eqNullSafe(F.col("f")))
+    later = placed.where(~here.eqNullSafe(F.col("f")))
     # Matches of one document with one earlier place lie on diagonals: one row for each, with the matched indices.
     diagonals = later.groupBy("doc_id", "text_hash", F.col("f.doc_id").alias("doc_0"), F.col("f.text_hash").alias("hash_0"), (F.col("at") - F.col("f.at")).alias("shift")).agg(F.array_sort(F.collect_set("at")).alias("hits"))
     other = lines.select(F.col("doc_id").alias("id_0"), F.col("text_hash").alias("th_0"), F.col("h").alias("h0"))
@@ -91,18 +95,19 @@ def deleted_lines(lines: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the cleaned text, and n_lines and n_removed; lines end at a line feed."""
-    gone = deleted_lines(line_table(docs)).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), F.col("gone").alias(GONE))
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*kept, F.xxhash64("text").alias(HASH)).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col(HASH) == F.col("_gone_hash")), "left")
+    gone_id, gone_hash, hash_, gone_at = (fresh(docs, x) for x in ("_gone_id", "_gone_hash", "_text_hash", "_gone"))
+    gone = deleted_lines(line_table(docs)).toDF(gone_id, gone_hash, gone_at)
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    joined = docs.select(*map(quoted, kept), F.xxhash64("text").alias(hash_)).join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(hash_) == F.col(gone_hash)), "left")
     lines = F.split("text", "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), GONE)
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_at)
     left = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
-    removed = F.coalesce(F.size(GONE), F.lit(0))
-    text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(left)
-    told = joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "n_removed": F.when(F.col(GONE).isNull(), F.lit(0)).otherwise(removed).cast("bigint"), "text": text})
+    removed = F.coalesce(F.size(gone_at), F.lit(0))
+    text = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(left)
+    told = joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "n_removed": F.when(F.col(gone_at).isNull(), F.lit(0)).otherwise(removed).cast("bigint"), "text": text})
     if "n_chars" in kept:
         told = told.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return told.select(*kept, "n_lines", "n_removed")
+    return told.select(*map(quoted, kept), "n_lines", "n_removed")
 
 
 def op4_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
