@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from urlweave.llm import line_dedup as L
 
@@ -144,3 +145,29 @@ def test_clashing_names(spark):
     got = L.dedup_lines(docs)
     assert got.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_removed"]
     assert [(r["text"], r["_GONE"], r["n_removed"]) for r in got.orderBy("doc_id").collect()] == [(long, 1, 0), ("end", 1, 1)]
+
+
+def test_passages_inside_lines(spark):
+    """A passage of 60 words inside long lines goes but for the pieces up to its first and from its last cut; all else stays."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(4))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    passage = " ".join(sentence(10) for _ in range(6))
+    docs = [(k, "\n".join([sentence(9), " ".join([sentence(40)[:-1], passage, *(sentence(12) for _ in range(3))]), "", sentence(5)])) for k in range(4)]
+    docs += [(9, " ".join(sentence(12) for _ in range(30)))]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got[0] == (docs[0][1], 0) and got[9] == (docs[4][1], 0)
+    for k in (1, 2, 3):
+        text, n = got[k]
+        inner = " ".join(passage.split(" ")[10:]) + " "  # the first sentence is cut with what stands before it
+        assert n == 5 and text == docs[k][1].replace(inner, "")
+
+
+def test_units_are_the_line(spark):
+    r = random.Random(1)
+    lines = ["".join(r.choice("abN. !?\t") for _ in range(r.choice([0, 5, 300]))) for _ in range(200)]
+    d = spark.createDataFrame([(x,) for x in lines], "x string").select("x", L.units_of(F.col("x")).alias("u"))
+    assert all("".join(r["u"]) == r["x"] for r in d.collect())
+    text = "\n".join(lines)
+    (got,) = spark.createDataFrame([(text,)], "x string").select(L.without(F.split("x", "\n"), F.array().cast("array<bigint>"))).first()
+    assert got == text

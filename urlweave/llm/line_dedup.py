@@ -1,23 +1,25 @@
 """Line dedup by winnowing.
 
-Lines without words are left out of all that follows and stay. A gram is the shortest run of lines from some line on
+The unit is a line; a line long enough to hold a passage inside falls into units after those sentence ends whose next
+letter isn't N to Z, which is a rule of the content alone, so a passage is cut alike wherever it stands. Units without
+words are left out of all that follows and stay. A gram is the shortest run of units from some unit on
 that holds at least ``GRAM_WORDS`` words; a window is the shortest run that holds at least ``RUN_WORDS``. In every window
-the gram of least hash (the last of equals) is selected: so a run of RUN_WORDS or more words that two places share
-has a gram selected in both, and what is shorter than GRAM_WORDS is never looked at. Selected grams, and the whole
+the gram of least hash (the last of equals) is selected: so a run of RUN_WORDS or more words in whole units that two places
+share has a gram selected in both, and what is shorter than GRAM_WORDS is never looked at. Selected grams, and the whole
 windows beside them, are joined to their first place, documents in order of id: the first place of a frequent gram may be
 followed by other lines, that of a window is followed by the window's own. Where a document repeats itself, only its first
 place of a fingerprint meets another document; each further one meets the place before it in the document, so that
-lines that repeat with one period are one match, however many they are. Each match is extended both ways, line by line, while the lines agree,
-and the lines of the later place are deleted. A line that goes always has an equal one at an earlier place, so
-the first copy of every line stays, and every line of a window of whole lines that an earlier place has goes. A passage that starts
-or ends inside a line is not found as such.
+lines that repeat with one period are one match, however many they are. Each match is extended both ways, unit by unit, while the units agree,
+and the units of the later place are deleted, a line's break with its last unit. A unit that goes always has an equal one at an earlier place, so
+the first copy of every unit stays, and every unit of a window that an earlier place has goes. Of a passage
+inside a line, the pieces before its first and behind its last cut stay.
 
-Work is on arrays of line hashes, some bytes for a line; texts are shuffled once, to lose their lines. A gram that a
+Work is on arrays of unit hashes, some bytes for a unit; texts are shuffled once, to lose their units. A gram that a
 third of all documents share meets its first place in a join whose hot key adaptive execution splits; grams are
 never paired with each other.
 
-Defined cases: a null text stays null and an empty one empty; a document of fewer than RUN_WORDS words may lose
-lines only to a match that starts in another document's gram; rows that repeat both id and text are one document
+Defined cases: a null text stays null and an empty one empty; words are counted by the blanks between them;
+a document of fewer than RUN_WORDS words loses nothing; rows that repeat both id and text are one document
 and are cleaned alike; of rows with one id, the order is by text hash; null ids come first; an empty table gives
 an empty table; the columns of the input stay whatever their names, with ``text`` cleaned and ``n_chars`` brought up to
 date; columns named n_lines or n_removed are replaced.
@@ -28,20 +30,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, fresh, quoted, stage, table
+from .common import fresh, quoted, stage, table
 
-GRAM_WORDS = 25
-RUN_WORDS = 50
+GRAM_WORDS = 12
+RUN_WORDS = 25
+
+#: Lines of up to so many bytes are one unit: shorter ones can't hold two windows.
+WHOLE_BYTES = 4 * RUN_WORDS
+
+#: Where longer lines are cut: a rule of what stands around the place.
+CUT = r"(?<=[.!?] )(?![N-Zn-z ])"
+
+#: White space inside a line that counts as a blank.
+BLANKS = "\t\x0b\x0c\r"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def units_of(line: Column) -> Column:
+    """The line's units, in order; together they are the line."""
+    return F.when(F.octet_length(line) > WHOLE_BYTES, F.split(line, CUT)).otherwise(F.array(line))
+
+
+def place(line: Column, unit: Column) -> Column:
+    """A unit's place: ordered, and one number for line and unit."""
+    return F.shiftleft(line.cast("bigint"), 32).bitwiseOR(unit.cast("bigint"))
 
 
 def _worded(lines: Column) -> Column:
-    """(hash, words, place among all lines) of the lines that hold words."""
-    told = F.transform(lines, lambda x, i: F.struct(F.xxhash64(F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"), i.alias("line")))
-    return F.filter(told, lambda x: x["w"] > 0)
+    """(hash, words, place) of the units that hold words."""
+
+    def told(bare: Column, at: Column) -> Column:
+        words = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
+        return F.struct(F.xxhash64(bare).alias("h"), F.when(bare == "", F.lit(0)).otherwise(words).alias("w"), at.alias("line"))
+
+    bare = lambda u: F.trim(F.translate(u, BLANKS, " " * len(BLANKS)))
+    each = F.transform(lines, lambda x, i: F.transform(units_of(x), lambda u, k: _let(bare(u), lambda t: told(t, place(i, k)))))
+    return F.filter(F.flatten(each), lambda x: x["w"] > 0)
+
+
+def without(lines: Column, gone: Column) -> Column:
+    """The text less the units at the places ``gone``; a line all of whose units go, goes with its break."""
+
+    def of_units(units: Column) -> Column:
+        every = F.flatten(F.transform(units, lambda us, i: F.transform(us, lambda u, k: place(i, k))))
+        return _let(F.array_except(every, gone), lambda kept: joined(units, kept))
+
+    def joined(units: Column, kept: Column) -> Column:
+        line = lambda p: F.shiftright(p, 32).cast("int")
+        breaks = lambda p, n: F.when((n > 0) & (line(p) != line(F.get(kept, n - 1))), F.lit("\n")).otherwise(F.lit(""))
+        return F.array_join(F.transform(kept, lambda p, n: F.concat(breaks(p, n), F.get(F.get(units, line(p)), p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")))), "")
+
+    return _let(F.transform(lines, units_of), of_units)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """A staged row for each document: doc_id, text_hash and the arrays h, w, line of its lines with words."""
+    """A staged row for each document: doc_id, text_hash and the arrays h, w, line (place) of its units with words."""
     told = docs.where("text is not null").select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), _worded(F.split("text", "\n")).alias("l"))
     arrays = told.where(F.size("l") > 0).select("doc_id", "text_hash", *(F.col(f"l.{c}").alias(c) for c in ("h", "w", "line")))
     # Equal (id, text hash) are one document: the first stands for all.
@@ -49,12 +96,12 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def selected_grams(lines: DataFrame) -> DataFrame:
-    """The fingerprints: doc_id, text_hash, at (index among the lines with words), gram (or a whole window's hash)."""
+    """The fingerprints: doc_id, text_hash, at (index among the units with words), gram (or a whole window's hash)."""
     each = lines.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("h", "w")).alias("at", "l")).select("doc_id", "text_hash", "at", "l.*")
     doc = Window.partitionBy("doc_id", "text_hash")
     begin = F.coalesce(F.sum("w").over(doc.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     each = each.withColumn("begin", begin.cast("bigint"))
-    # By words: the lines that begin less than so many words after this one, and so reach that many unless the text ends.
+    # By words: the units that begin less than so many words after this one, and so reach that many unless the text ends.
     of_gram = doc.orderBy("begin").rangeBetween(0, GRAM_WORDS - 1)
     of_run = doc.orderBy("begin").rangeBetween(0, RUN_WORDS - 1)
     each = each.withColumn("gram", F.xxhash64(F.collect_list("h").over(of_gram))).withColumn("gram_end", F.max(F.col("begin") + F.col("w")).over(of_gram))
@@ -68,7 +115,7 @@ def selected_grams(lines: DataFrame) -> DataFrame:
 
 
 def deleted_lines(lines: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the sorted places (among all lines) that go."""
+    """doc_id, text_hash and the sorted places that go."""
     grams = stage(selected_grams(lines), "grams")
     first = grams.groupBy("gram").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "f")
     own = Window.partitionBy("gram", "doc_id", "text_hash").orderBy("at")
@@ -94,14 +141,13 @@ def deleted_lines(lines: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the cleaned text, and n_lines and n_removed; lines end at a line feed."""
+    """``docs`` with the cleaned text, and n_lines and n_removed (units); lines end at a line feed."""
     gone_id, gone_hash, hash_, gone_at = (fresh(docs, x) for x in ("_gone_id", "_gone_hash", "_text_hash", "_gone"))
     gone = deleted_lines(line_table(docs)).toDF(gone_id, gone_hash, gone_at)
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     joined = docs.select(*map(quoted, kept), F.xxhash64("text").alias(hash_)).join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(hash_) == F.col(gone_hash)), "left")
     lines = F.split("text", "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_at)
-    left = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+    left = without(lines, F.col(gone_at))
     removed = F.coalesce(F.size(gone_at), F.lit(0))
     text = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(left)
     told = joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "n_removed": F.when(F.col(gone_at).isNull(), F.lit(0)).otherwise(removed).cast("bigint"), "text": text})
@@ -111,5 +157,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op4_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text without the runs of lines that an earlier place has, and the lines' numbers."""
+    """Every document's text without the runs of units that an earlier place has, its lines and the units that went."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
