@@ -33,12 +33,6 @@ def test_against_sql(spark, duck, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(repr, result.fetchall()))
 
 
-def test_international_hosts(spark):
-    got = {r["n_nationkey"]: r for r in catalog.international_hosts(spark, SF).collect()}
-    assert {r["raw_host"] for r in got.values()} == {"xn--bcher-kva.example", "xn--e1afmkfd.xn--p1ai", "2001:db8::1", "fe80::1%25eth0", "xn--fa-hia.de"}
-    assert {r["host"] for r in got.values()} == {"bücher.example", "пример.рф", "2001:db8::1", "fe80::1%eth0", "faß.de"}
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "urls.txt").write_text("http://a/x\nhttp://:1\nhttp://b:80/?q=1\n")
     good, bad = parsed_and_rejected(read_urls(spark, f"file://{tmp_path}/urls.txt"))
@@ -64,6 +58,7 @@ def test_streams(spark, tmp_path):
 
 def test_null_and_empty_tables(spark):
     d = links.with_url(spark.createDataFrame([(None,), ("http://h/?a=1",), ("http://h/?a=1",)], "url string"))
+    assert d.schema["u"].metadata == {"format": "uri"}
     assert links.host_rollup(d).count() == 2
     assert links.query_parameters(d).count() == 2
     assert links.distinct_urls(d.where("u is not null")).count() == 1

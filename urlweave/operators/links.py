@@ -10,15 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import Url
+from ..schema import URL_METADATA
 from ..session import ship
 
 HREF = r"""href\s*=\s*["']([^"'<>]*)["']"""
 
 
 def with_url(df: DataFrame, url: str | Column = "url", name: str = "u", strict: bool = False) -> DataFrame:
-    """``df`` with the parsed URL as a struct column; null where there is none, unless strict."""
+    """``df`` with the parsed URL as a struct column; null where there is none, unless strict. The schema marks it as a URI."""
     ship(df.sparkSession)
-    return df.withColumn(name, Url.parse(url, strict=strict).col)
+    return df.withColumn(name, Url.parse(url, strict=strict).col).withMetadata(name, URL_METADATA)
 
 
 def host_rollup(df: DataFrame, name: str = "u") -> DataFrame:
@@ -54,6 +55,9 @@ def link_graph(pages: DataFrame) -> DataFrame:
 
 
 def ranked_hosts(df: DataFrame, name: str = "u") -> DataFrame:
-    """Hosts with their rank by rows; a window over one row for each host."""
+    """Hosts with their rank by rows. Only the distinct numbers of rows are ordered in one place: as many as the square root of twice the rows."""
     rolled = host_rollup(df, name)
-    return rolled.withColumn("rank", F.rank().over(Window.orderBy(F.desc("n_pages")))).select("host", "n_pages", "rank")
+    sizes = rolled.groupBy("n_pages").agg(F.count("*").alias("hosts"))
+    before = Window.orderBy(F.desc("n_pages")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = sizes.select("n_pages", (F.coalesce(F.sum("hosts").over(before), F.lit(0)) + 1).cast("int").alias("rank"))
+    return rolled.join(ranks, "n_pages").select("host", "n_pages", "rank")

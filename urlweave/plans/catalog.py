@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec as C
@@ -117,24 +117,100 @@ def quoted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dot segments folded."""
-    path = F.concat(F.lit("/"), F.col("n_name"), F.lit("/../"), F.col("n_regionkey"), F.lit("/./x/../../../"), F.col("n_nationkey"), F.lit("/."))
-    return _table(spark, sf_dir, "nation").select("n_nationkey", normalize_path(path).alias("path"))
+    path = F.concat(F.lit("/"), F.col("c_name"), F.lit("/../"), F.col("c_nationkey"), F.lit("/./x/../../../"), F.col("c_custkey"), F.lit("/."))
+    return _table(spark, sf_dir, "customer").select("c_custkey", normalize_path(path).alias("path"))
+
+
+def _turn(values: list[str]) -> Column:
+    """One of the values for each customer, in turn."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % len(values) + 1).cast("int"))
+
+
+#: What follows "http://", and the error's code; "" for a URL.
+_WRONG = [
+    ("h:99999/", "PORT_RANGE"), ("h:x/", "BAD_PORT"), (":80/", "HOST_REQUIRED"), ("[::1]evil/", "INVALID_IPV6"), ("ok.example/", ""), ("a\\b/", "BACKSLASH_IN_AUTHORITY"),
+    ("[abc]/", "BRACKET_NOT_IPV6"), ("[v1/", "INVALID_IPV6"), ("[vz.a]/", "INVALID_IPVFUTURE"), ("u@/", "HOST_REQUIRED"), ("h:65535/", ""), ("h:65536/", "PORT_RANGE"),
+    ("ex\u2100mple/", "NFKC_DELIMITER"), ("a\u200bb.example/", "HOST_DEFAULT_IGNORABLE"),
+]
 
 
 def url_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why strings are no URLs."""
-    nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    tail = F.element_at(F.array(*map(F.lit, ["h:99999/", "h:x/", ":80/", "[::1]evil/", "ok.example/"])), F.col("n_regionkey") + 1)
-    url = F.concat(F.lit("http://"), tail, F.col("n_nationkey"))
-    return nations.select("n_nationkey", url.alias("url")).select("n_nationkey", Url.error("url").alias("error"), Url.is_valid("url").alias("is_valid"))
+    url = F.concat(F.lit("http://"), _turn([x for x, _ in _WRONG]), F.col("c_custkey"))
+    d = _table(spark, sf_dir, "customer").select("c_custkey", url.alias("url")).withColumn("error", Url.error("url"))
+    return d.select("c_custkey", "error", F.col("error").isNull().alias("is_valid"))
+
+
+#: A host as written, raw, for people, and in an authority.
+_HOSTS = [
+    ("b\u00fccher.example", "xn--bcher-kva.example", "b\u00fccher.example", "xn--bcher-kva.example"),
+    ("\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444", "xn--e1afmkfd.xn--p1ai", "\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444", "xn--e1afmkfd.xn--p1ai"),
+    ("[2001:DB8:0:0::1]", "2001:db8::1", "2001:db8::1", "[2001:db8::1]"),
+    ("[fe80::1%25eth0]", "fe80::1%25eth0", "fe80::1%eth0", "[fe80::1%25eth0]"),
+    ("fa\u00df.de", "xn--fa-hia.de", "fa\u00df.de", "xn--fa-hia.de"),
+    ("[0:0:1:0:0:0:0:1]", "0:0:1::1", "0:0:1::1", "[0:0:1::1]"),
+    ("[::FFFF:192.0.2.1]", "::ffff:192.0.2.1", "::ffff:192.0.2.1", "[::ffff:192.0.2.1]"),
+    ("192.0.2.33", "192.0.2.33", "192.0.2.33", "192.0.2.33"),
+    ("ASCII.Example", "ascii.example", "ascii.example", "ascii.example"),
+    ("\uff41\uff42.example", "ab.example", "ab.example", "ab.example"),
+]
 
 
 def international_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts that leave the JVM: IDNA, IPv6 and zones."""
-    nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    host = F.element_at(F.array(*map(F.lit, ["bücher.example", "пример.рф", "[2001:DB8:0:0::1]", "[fe80::1%25eth0]", "faß.de"])), F.col("n_regionkey") + 1)
-    d = links.with_url(nations.withColumn("url", F.concat(F.lit("http://"), host, F.lit("/"), F.col("n_nationkey"))))
-    return d.select("n_nationkey", U.raw_host.alias("raw_host"), U.host.alias("host"), U.host_subcomponent.alias("host_subcomponent"), U.human_repr.alias("human"))
+    """Hosts that must be coded: IDNA, IPv6 and zones."""
+    d = links.with_url(_table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("http://"), _turn([h[0] for h in _HOSTS]), F.lit("/"), F.col("c_custkey")).alias("url")))
+    return d.select("c_custkey", U.raw_host.alias("raw_host"), U.host.alias("host"), U.host_subcomponent.alias("host_subcomponent"), U.host_port_subcomponent.alias("host_port"))
+
+
+def raw_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accessors of parts as they are coded, and of decoded ones beside them."""
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    url = F.concat(F.lit("http://U%20ser:p%40@Shop"), F.col("c_custkey"), F.lit(".Example.COM:8080/a b/"), F.replace("c_name", F.lit("#"), F.lit("%23")), F.lit("/f%2fg%25.tar.gz?q="), F.col("c_mktsegment"), F.lit("&r=%2b#f%41 g"))
+    d = links.with_url(customers.withColumn("url", url))
+    joined = lambda x: F.array_join(x, "|")
+    return d.select(
+        "c_custkey", U.raw_user.alias("raw_user"), U.raw_password.alias("raw_password"), U.authority.alias("authority"), U.host_subcomponent.alias("host_subcomponent"), U.host_port_subcomponent.alias("host_port"), U.explicit_port.alias("explicit_port"), U.is_default_port.alias("is_default_port"),
+        U.raw_path.alias("raw_path"), U.path.alias("path"), U.path_safe.alias("path_safe"), U.path_qs.alias("path_qs"), U.raw_path_qs.alias("raw_path_qs"), joined(U.raw_parts).alias("raw_parts"), joined(U.parts).alias("parts"),
+        U.raw_name.alias("raw_name"), U.name.alias("name"), U.raw_suffix.alias("raw_suffix"), joined(U.raw_suffixes).alias("raw_suffixes"), joined(U.suffixes).alias("suffixes"), U.raw_fragment.alias("raw_fragment"), U.fragment.alias("fragment"), U.truth.alias("truth"), F.decode(U.bytes, "US-ASCII").alias("ascii_bytes"),
+    )
+
+
+def more_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passwords, query updates of each kind, values that are doubles, pre-encoded URLs, human forms and order."""
+    d = _harder(spark, sf_dir)
+    verbatim = Url.parse(F.concat(F.lit("http://h/%zz a/"), F.col("c_custkey")), encoded=True).text
+    coded = F.concat(F.lit("p"), F.col("c_custkey"), F.lit(":q"))
+    return d.select(
+        "c_custkey", U.with_password("s p").raw_authority.alias("with_password"), U.with_user(None).with_password("x").raw_authority.alias("password_alone"), (U % {"q": "1"}).raw_query_string.alias("by_percent"), U.with_query([("a", F.col("c_custkey")), ("a", "2 3")]).raw_query_string.alias("by_pairs"),
+        U.update_query("q=n&z=" + "1").raw_query_string.alias("by_text"), U.extend_query({"d": (F.col("c_custkey") / 4).cast("double")}).raw_query_string.alias("by_double"), verbatim.alias("verbatim"), U.human_repr.alias("human"), Url.build(path=coded).text.alias("guarded"),
+        (U.sort_key < U.with_scheme("https").sort_key).alias("before_https"), (U.with_path("/a").sort_key < U.with_path("/b").sort_key).alias("before_b"),
+    )
+
+
+def built_authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs built from an authority, from users and hosts, and from coded parts."""
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    authority = F.concat(F.lit("U s:p@Host"), F.col("p_partkey"), F.lit(":8"), F.col("p_size"))
+    by_authority = Url.build(scheme="http", authority=authority, path="/a b/../c")
+    by_user = Url.build(scheme="ftp", user=F.concat(F.lit("u/"), F.col("p_partkey")), password="p:w", host="B\u00fccher.Example", port=21, path="/x")
+    coded = Url.build(scheme="http", host="h", path=F.concat(F.lit("/%7e/"), F.col("p_partkey")), query_string="a=%20", encoded=True)
+    return parts.select("p_partkey", by_authority.text.alias("by_authority"), by_user.text.alias("by_user"), coded.text.alias("coded"))
+
+
+#: References, and what they are against http://a/b/c/d;p?q (RFC 3986, 5.4).
+_REFERENCES = [
+    ("g", "http://a/b/c/g"), ("./g", "http://a/b/c/g"), ("g/", "http://a/b/c/g/"), ("/g", "http://a/g"), ("//g", "http://g"), ("?y", "http://a/b/c/d;p?y"), ("g?y", "http://a/b/c/g?y"), ("#s", "http://a/b/c/d;p?q#s"), ("g#s", "http://a/b/c/g#s"), ("g?y#s", "http://a/b/c/g?y#s"),
+    (";x", "http://a/b/c/;x"), ("g;x", "http://a/b/c/g;x"), ("g;x?y#s", "http://a/b/c/g;x?y#s"), ("", "http://a/b/c/d;p?q"), (".", "http://a/b/c/"), ("./", "http://a/b/c/"), ("..", "http://a/b/"), ("../", "http://a/b/"), ("../g", "http://a/b/g"), ("../..", "http://a/"), ("../../", "http://a/"), ("../../g", "http://a/g"),
+    ("../../../g", "http://a/g"), ("../../../../g", "http://a/g"), ("/./g", "http://a/g"), ("/../g", "http://a/g"), ("g.", "http://a/b/c/g."), (".g", "http://a/b/c/.g"), ("g..", "http://a/b/c/g.."), ("..g", "http://a/b/c/..g"), ("./../g", "http://a/b/g"), ("./g/.", "http://a/b/c/g/"), ("g/./h", "http://a/b/c/g/h"),
+    ("g/../h", "http://a/b/c/h"), ("g;x=1/./y", "http://a/b/c/g;x=1/y"), ("g;x=1/../y", "http://a/b/c/y"), ("g?y/./x", "http://a/b/c/g?y/./x"), ("g#s/../x", "http://a/b/c/g#s/../x"), ("g:h", "g:h"),
+]
+
+
+def resolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of every kind against one base."""
+    d = _table(spark, sf_dir, "customer").select("c_custkey", F.lit("http://a/b/c/d;p?q").alias("base"), _turn([r for r, _ in _REFERENCES]).alias("ref"))
+    both = links.with_url(links.with_url(d, "base", "b"), "ref", "r")
+    return both.select("c_custkey", "ref", Url("b").join(Url("r")).text.alias("target"))
 
 
 FLAGSHIP = link_graph
@@ -145,6 +221,11 @@ _P = f"SELECT page_id, lower({_SCHEME}) AS scheme, lower({_HOST}) AS host, {_PAT
 _SEGMENT = "CASE WHEN c_mktsegment IS NULL THEN NULL ELSE replace(c_mktsegment, ' ', '+') END"
 _NAME = "replace(replace(c_name, '#', '%23'), ' ', '%20')"
 
+def _picked(values: list[str]) -> str:
+    """SQL of one of the values for each customer, in turn."""
+    return "(" + "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]" + f")[c_custkey % {len(values)} + 1]"
+
+
 ORACLES = {
     "hosts_by_pages": f"WITH p AS ({_P}) SELECT host, count(*) AS n_pages, avg(CASE WHEN scheme = 'https' THEN 1.0 ELSE 0.0 END)::DOUBLE AS https_share FROM p GROUP BY 1",
     "host_ranks": f"WITH p AS ({_P}), c AS (SELECT host, count(*) AS n_pages FROM p GROUP BY 1) SELECT host, n_pages, rank() OVER (ORDER BY n_pages DESC)::INTEGER AS rank FROM c",
@@ -161,13 +242,24 @@ ORACLES = {
     "path_edits": f"SELECT c_custkey, '/a/' || {_NAME} || '/x%20y/z%20z' AS child, '/a/' || {_NAME} || '/up' AS sibling, '/a/' || {_NAME} || '/n.txt' AS named, '/a/' || {_NAME} || '/n.md' AS suffixed, '/q' AS pathed FROM customer",
     "built_urls": "SELECT p_partkey, 'https://parts.example:' || (p_size + 8000) || '/' || replace(replace(p_name, '#', '%23'), ' ', '%20') || '?key=' || p_partkey || '&n=' || replace(replace(p_name, '#', '%23'), ' ', '+') AS text FROM part",
     "quoted_texts": "SELECT doc_id, sha256(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(url_encode(text), '%21', '!'), '%24', '$'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*'), '%2C', ','), '%2B', '+'), '%26', '&'), '%3D', '='), '%3B', ';')) AS quoted_sha256, TRUE AS round_trip FROM documents",
-    "folded_paths": "SELECT n_nationkey, '/' || n_nationkey || '/' AS path FROM nation",
-    "url_errors": "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'PORT_RANGE' WHEN 1 THEN 'BAD_PORT' WHEN 2 THEN 'HOST_REQUIRED' WHEN 3 THEN 'INVALID_IPV6' END AS error, n_regionkey = 4 AS is_valid FROM nation",
+    "folded_paths": "SELECT c_custkey, '/' || c_custkey || '/' AS path FROM customer",
+    "url_errors": f"SELECT c_custkey, nullif({_picked([e for _, e in _WRONG])}, '') AS error, {_picked([e for _, e in _WRONG])} = '' AS is_valid FROM customer",
+    "international_hosts": f"SELECT c_custkey, {_picked([h[1] for h in _HOSTS])} AS raw_host, {_picked([h[2] for h in _HOSTS])} AS host, {_picked([h[3] for h in _HOSTS])} AS host_subcomponent, {_picked([h[3] for h in _HOSTS])} AS host_port FROM customer",
+    "raw_accessors": f"""WITH n AS (SELECT c_custkey AS k, c_name AS n, {_NAME} AS rn, c_mktsegment AS s, {_SEGMENT} AS rs FROM customer)
+        SELECT k AS c_custkey, 'U%20ser' AS raw_user, 'p%40' AS raw_password, 'U ser:p@@shop' || k || '.example.com:8080' AS authority, 'shop' || k || '.example.com' AS host_subcomponent, 'shop' || k || '.example.com:8080' AS host_port, 8080 AS explicit_port, FALSE AS is_default_port,
+        '/a%20b/' || rn || '/f%2Fg%25.tar.gz' AS raw_path, '/a b/' || n || '/f/g%.tar.gz' AS path, '/a b/' || n || '/f%2Fg%25.tar.gz' AS path_safe, '/a b/' || n || '/f/g%.tar.gz?q=' || s || '&r=%2B' AS path_qs, '/a%20b/' || rn || '/f%2Fg%25.tar.gz?q=' || rs || '&r=%2B' AS raw_path_qs,
+        '/|a%20b|' || rn || '|f%2Fg%25.tar.gz' AS raw_parts, '/|a b|' || n || '|f/g%.tar.gz' AS parts, 'f%2Fg%25.tar.gz' AS raw_name, 'f/g%.tar.gz' AS name, '.gz' AS raw_suffix, '.tar|.gz' AS raw_suffixes, '.tar|.gz' AS suffixes, 'fA%20g' AS raw_fragment, 'fA g' AS fragment, TRUE AS truth,
+        'http://U%20ser:p%40@shop' || k || '.example.com:8080/a%20b/' || rn || '/f%2Fg%25.tar.gz?q=' || rs || '&r=%2B#fA%20g' AS ascii_bytes FROM n""",
+    "more_edits": f"""WITH n AS (SELECT c_custkey AS k, c_name AS n, {_NAME} AS rn, c_mktsegment AS s, {_SEGMENT} AS rs FROM customer)
+        SELECT k AS c_custkey, 'U%20ser:s%20p@shop' || k || '.example.com:80' AS with_password, ':x@shop' || k || '.example.com:80' AS password_alone, 'q=1&r=%2B++' AS by_percent, 'a=' || k || '&a=2+3' AS by_pairs, 'q=n&r=%2B++&z=1' AS by_text,
+        'q=' || rs || '&r=%2B%20+&d=' || (k / 4.0)::DOUBLE AS by_double, 'http://h/%zz a/' || k AS verbatim, 'http://U ser:p%40@shop' || k || '.example.com:80/a/' || replace(n, '#', '%23') || '/x y?q=' || s || '&r=%2B  #fA g' AS human, 'p' || k || '%3Aq' AS guarded, TRUE AS before_https, TRUE AS before_b FROM n""",
+    "built_authorities": "SELECT p_partkey, 'http://U%20s:p@host' || p_partkey || ':8' || p_size || '/c' AS by_authority, 'ftp://u%2F' || p_partkey || ':p%3Aw@xn--bcher-kva.example/x' AS by_user, 'http://h/%7e/' || p_partkey || '?a=%20' AS coded FROM part",
+    "resolved_references": f"SELECT c_custkey, {_picked([r for r, _ in _REFERENCES])} AS ref, {_picked([t for _, t in _REFERENCES])} AS target FROM customer",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [hosts_by_pages, host_ranks, resolved_links, link_graph, url_parts, url_names, url_query_pairs, url_query_edits, distinct_urls, url_text, canonical_urls, authority_edits, path_edits, built_urls, quoted_texts, folded_paths, url_errors, international_hosts]
+    found = [hosts_by_pages, host_ranks, resolved_links, link_graph, url_parts, url_names, url_query_pairs, url_query_edits, distinct_urls, url_text, canonical_urls, authority_edits, path_edits, built_urls, quoted_texts, folded_paths, url_errors, international_hosts, raw_accessors, more_edits, built_authorities, resolved_references]
     return {f.__name__: f for f in found}
 
 

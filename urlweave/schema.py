@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
-
-#: A URL: five strings, none of them null; "" is absence.
-URL_TYPE = StructType([StructField(n, StringType(), False, {"format": "uri"} if n == "scheme" else None) for n in ("scheme", "netloc", "path", "query", "fragment")])
-
-#: An ordered multimap.
-PAIRS_TYPE = ArrayType(StructType([StructField("key", StringType(), False), StructField("value", StringType(), False)]), False)
+#: What a URL column's schema says of it, as JSON Schema names the format. The column is a struct of five strings (scheme,
+#: netloc, path, query, fragment), none of them null; "" is absence.
+URL_METADATA = {"format": "uri"}
 
 # Ports, and schemes by what they allow.
 DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
