@@ -122,19 +122,52 @@ def points(text):
     return O.order_minhash(F.lit(text))
 
 
-def test_fingerprint_by_definition(spark):
-    """The k-mers that the ring selects, by brute force over the same ring points."""
-    text = "a b c d e f g a b c d e h i j k l m n o p a b c d e"
-    row = spark.range(1).select(O.numbered(O.kmer_hashes(F.lit(text))).alias("u"), points(text).alias("f"), O.kmer_hashes(F.lit(text)).alias("k")).first()
-    ring = [(x >> 32, x & 0xFFFFFFFF) for x in row["u"]]
-    assert len(ring) == len(row["k"]) == 22 and len(set(row["k"])) == 20 and len(set(ring)) == 22
-    want = []
+def by_definition(spark, u):
+    """The points that each sample selects, from Spark's hashes of points alone."""
+    n = len(u)
+    if not n:
+        return []
+    rounds = min(O.ROUNDS, -(-O.ENTRIES // n))
+    d = spark.createDataFrame([(i, x >> 32) for i, x in enumerate(u)], "i int, p bigint")
+    hashed = d.crossJoin(spark.range(rounds).select(F.col("id").cast("int").alias("r"))).select("i", "r", F.xxhash64("p", "r")).collect()
+    own = {(i, j): h for i, j, h in d.crossJoin(spark.range(O.SAMPLES).select(F.col("id").cast("int").alias("j"))).select("i", "j", F.xxhash64("p", F.lit("own"), "j")).collect()}
+    rest = {j: [] for j in range(O.SAMPLES)}
+    for i, r, h in hashed:
+        rest[((h % 2**64) >> 32) % O.SAMPLES].append((r, h % 2**24, i))
+    out = []
     for j in range(O.SAMPLES):
-        mark = j * (O._RING // O.SAMPLES)
-        nearest = sorted(ring, key=lambda p: ((p[0] - mark) % O._RING, p[1]))[: O.PICK]
-        want.append([v for v, _ in sorted(nearest, key=lambda p: p[1])])
-    d = spark.createDataFrame([(w,) for w in want], "w array<bigint>")
-    assert [r[0] for r in d.select(F.xxhash64("w").bitwiseAND(F.lit(0xFFFFFFFF))).collect()] == list(row["f"])
+        order = [i for _, _, i in sorted(rest[j])] + sorted(range(n), key=lambda i: (own[i, j], i))
+        picked = list(dict.fromkeys(order))[: O.PICK]
+        out.append([u[i] >> 32 for i in sorted(picked, key=lambda i: u[i] & 0xFFFFFFFF)])
+    return out
+
+
+@pytest.mark.parametrize("text", ["a b c d e f g a b c d e h i j k l m n o p a b c d e", "one", "a b c d e f", "a b c d e f g", " ".join(f"w{k * k % 700}" for k in range(1500)), ""])
+def test_fingerprint_by_definition(spark, text):
+    row = spark.range(1).select(O.numbered(O.kmer_hashes(F.lit(text))).alias("u"), points(text).alias("f"), O.kmer_hashes(F.lit(text)).alias("k")).first()
+    assert len(row["u"]) == len(row["k"]) == len(set(row["u"])) == len({x >> 32 for x in row["u"]})
+    want = by_definition(spark, row["u"])
+    assert len(row["f"]) == (O.SAMPLES if text else 0)
+    if text:
+        d = spark.createDataFrame([(w,) for w in want], "w array<bigint>")
+        assert [r[0] for r in d.select(F.xxhash64("w").bitwiseAND(F.lit(0xFFFFFFFF))).collect()] == list(row["f"])
+
+
+def test_samples_scatter_as_independent_ones(spark):
+    """Samples of short texts that share half of their k-mers agree as often as independent draws would, and scatter no more."""
+    r = random.Random(11)
+    rows = []
+    for k in range(250):
+        own = lambda side, m: [f"{side}{k}_{i}_{r.random()}" for i in range(m)]  # noqa: B023, E731
+        both = own("s", 24)
+        rows.append((" ".join(both + own("a", 10)), " ".join(both + own("b", 10))))
+    d = spark.createDataFrame(rows, "a string, b string")
+    same = F.aggregate(F.zip_with(O.order_minhash(F.col("a")), O.order_minhash(F.col("b")), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    p = np.array([x[0] for x in d.select(same).collect()]) / O.SAMPLES
+    # 20 of 40 k-mers in common; pairs of minimal ones: 20 * 19 / (40 * 39)
+    share = 20 * 19 / (40 * 39)
+    assert abs(p.mean() - share) < 0.02
+    assert p.var() / (share * (1 - share) / O.SAMPLES) < 1.2
 
 
 def test_likeness_follows_edits_and_order(spark):

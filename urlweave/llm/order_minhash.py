@@ -1,11 +1,16 @@
 """Document fingerprints: Order MinHash over word k-mers.
 
 A k-mer is ``KMER`` consecutive words (the whole sequence if the text has fewer); repeats of a k-mer are numbered
-by occurrence, so that a text is a set of (k-mer, occurrence). Each is hashed to a point of a ring. Sample j turns
-the ring by j / SAMPLES of its length and selects the ``PICK`` points that come first; these are put back in
-the order that they have in the text, and the tuple is hashed. Two texts agree in a sample only if the same
+by occurrence, so that a text is a set of points, each the hash of k-mer and occurrence. Each sample selects the ``PICK`` points
+that are minimal for it; these are put back in the order that they have in the text, and the tuple is hashed. Two texts agree in a sample only if the same
 k-mers are minimal and stand in the same order, so agreement falls with edit distance, moves of passages included.
-The ring's turns are the family of hash functions: a text needs one sort, not one for each sample.
+
+The samples' orders of points come in rounds, as in fast similarity sketching: round r hashes every point by a hash function
+of its own, which gives it to one sample with a value. A sample's order is by round, then by value; points that no round
+has given it come last, by the sample's own hash function. So the samples are as independent as if each had hashed every
+point, but a text of a thousand points or more needs one round, and shorter ones ``ENTRIES`` hashes, not one for each point and sample.
+Rounds that a text doesn't need change nothing: texts of any lengths are comparable. (A sample has fewer than PICK of ENTRIES
+hashes with a probability of 2e-6; then, and in texts of under ten k-mers, its own hash function fills it.)
 
 ``likeness`` is 0 to 1: with p the share of samples that agree, j = p^(1/PICK) estimates the k-mers' Jaccard
 similarity, and 2j / (1 + j) the share of k-mers that the texts have in common.
@@ -28,13 +33,20 @@ KMER = 5
 PICK = 2
 SAMPLES = 64
 
+#: Hashes of a text's points at least, and rounds at most.
+ENTRIES = 1024
+ROUNDS = 127
+
 #: Rows that one task orders, on average, until MAX_RANGES ranges of ids are in use.
 RANGE_ROWS = 2048
 MAX_RANGES = 1024
 
-_RING = 1 << 31
+_POINT = 1 << 31
 _LOW = 0xFFFFFFFF
 
+# An entry is one number: sample, round, value and index of the point from the highest bits on.
+_INDEX, _VALUE, _ROUND = 26, 24, 7
+
 
 def _packed(high: Column, low: Column) -> Column:
     """Two numbers under 2^31 and 2^32 in one bigint, ordered by the first."""
@@ -67,51 +79,72 @@ def kmer_hashes(text: Column, k: int = KMER) -> Column:
         n = F.size(h)
         full = _each_index(n - (k - 1), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))
         whole = F.when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(F.when(n >= k, full).otherwise(whole), lambda x: x.bitwiseAND(F.lit(_RING - 1)))
+        return F.transform(F.when(n >= k, full).otherwise(whole), lambda x: x.bitwiseAND(F.lit(_POINT - 1)))
 
     return _let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
 
 def numbered(hashes: Column) -> Column:
-    """(k-mer, position) pairs, sorted, to (ring point of k-mer and occurrence, position), sorted."""
+    """The k-mers' (point of k-mer and occurrence, position), in the order of the k-mers' hashes."""
 
     def of_sorted(s: Column) -> Column:
         n = F.size(s)
         firsts = F.filter(_each_index(n, lambda i: i), lambda i: (i == 0) | (_high(F.get(s, i)) != _high(F.get(s, i - 1))))
 
         def points(f: Column) -> Column:
-            once = F.transform(s, lambda x: _packed(F.xxhash64(_high(x), F.lit(0)).bitwiseAND(F.lit(_RING - 1)), _low(x)))
+            once = F.transform(s, lambda x: _packed(F.xxhash64(_high(x), F.lit(0)).bitwiseAND(F.lit(_POINT - 1)), _low(x)))
 
             def run(start: Column, at: Column) -> Column:
                 end = F.coalesce(F.get(f, at + 1), n)
-                return _each_index(end - start, lambda o: _packed(F.xxhash64(_high(F.get(s, start + o)), o).bitwiseAND(F.lit(_RING - 1)), _low(F.get(s, start + o))))
+                return _each_index(end - start, lambda o: _packed(F.xxhash64(_high(F.get(s, start + o)), o).bitwiseAND(F.lit(_POINT - 1)), _low(F.get(s, start + o))))
 
             return F.when(F.size(f) == n, once).otherwise(F.flatten(F.transform(f, run)))
 
-        return F.sort_array(_let(firsts, points))
+        return _let(firsts, points)
 
     return _let(F.sort_array(F.transform(hashes, lambda h, i: _packed(h, i.cast("bigint")))), of_sorted)
 
 
+def entry(point: Column, turn: Column, index: Column, samples: int) -> Column:
+    """What round ``turn`` makes of a point."""
+
+    def of_hash(g: Column) -> Column:
+        sample = F.shiftrightunsigned(g, 32) % samples
+        value = g.bitwiseAND(F.lit((1 << _VALUE) - 1))
+        return F.shiftleft(sample, _ROUND + _VALUE + _INDEX).bitwiseOR(F.shiftleft(turn.cast("bigint"), _VALUE + _INDEX)).bitwiseOR(F.shiftleft(value, _INDEX)).bitwiseOR(index.cast("bigint"))
+
+    return _let(F.xxhash64(point, turn), of_hash)
+
+
 def order_minhash(text: Column, k: int = KMER, pick: int = PICK, samples: int = SAMPLES) -> Column:
-    """The fingerprint as an array of ``samples`` hashes of 32 bits; empty for a text without words."""
-    turn = _RING // samples
-    marks = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda j: F.shiftleft((j * turn).cast("bigint"), 32))
+    """The fingerprint as an array of ``samples`` (64 at most) hashes of 32 bits; empty for a text without words."""
+    marks = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda j: F.shiftleft(j.cast("bigint"), _ROUND + _VALUE + _INDEX))
+    index_of = lambda e: (e.bitwiseAND(F.lit((1 << _INDEX) - 1)) - 1).cast("int")
 
     def of_points(u: Column) -> Column:
         n = F.size(u)
-        # Marks sorted among the points (position + 1 keeps them apart): a mark's place tells the points before it.
-        merged = F.sort_array(F.concat(F.transform(u, lambda x: x + 1), marks))
-        places = F.filter(F.transform(merged, lambda x, i: F.when(_low(x) == 0, i)), lambda i: i.isNotNull())
-
-        def sample(place: Column, j: Column) -> Column:
-            first = place - j
-            picked = F.array(*(F.get(u, (first + t) % n) for t in range(pick)))
-            held = F.when(n >= pick, picked).otherwise(u)
-            in_order = F.sort_array(F.transform(held, lambda x: _packed(_low(x), _high(x))))
-            return F.xxhash64(F.transform(in_order, _low)).bitwiseAND(F.lit(_LOW))
-
-        return F.when(n > 0, F.transform(places, sample)).otherwise(F.array().cast("array<bigint>"))
+        rounds = F.least(F.lit(ROUNDS), F.ceil(F.lit(ENTRIES) / n)).cast("int")
+        # Indices from 1 on, so that no entry is a mark. Marks sorted among the entries tell where a sample's begin.
+        entries = F.flatten(F.transform(F.sequence(F.lit(0), rounds - 1), lambda r: F.transform(u, lambda x, i: entry(_high(x), r, i + 1, samples))))
+        return F.when(n > 0, _let(F.sort_array(F.concat(entries, marks)), lambda merged: of_merged(u, merged))).otherwise(F.array().cast("array<bigint>"))
+
+    def of_merged(u: Column, merged: Column) -> Column:
+        places = F.filter(F.transform(merged, lambda x, i: F.when(x.bitwiseAND(F.lit((1 << (_ROUND + _VALUE + _INDEX)) - 1)) == 0, i)), lambda i: i.isNotNull())
+        return _let(places, lambda places: F.transform(places, lambda place, j: sample(u, merged, place, F.coalesce(F.get(places, j + 1), F.size(merged)), j)))
+
+    def sample(u: Column, merged: Column, place: Column, end: Column, j: Column) -> Column:
+        some = lambda size: F.array_distinct(F.transform(F.slice(merged, place + 2, size), index_of))
+        held = end - place - 1
+        few, wanted = some(F.least(held, F.lit(4 * pick))), F.least(F.lit(pick), F.size(u))
+        given = _let(few, lambda f: F.when(F.size(f) >= wanted, f).otherwise(_let(some(held), lambda m: F.when(F.size(m) >= wanted, m).otherwise(F.array_distinct(F.concat(m, by_own(u, j)))))))
+        picked = F.transform(F.slice(given, F.lit(1), wanted), lambda i: F.get(u, i))
+        in_order = F.sort_array(F.transform(picked, lambda x: _packed(_low(x), _high(x))))
+        return F.xxhash64(F.transform(in_order, _low)).bitwiseAND(F.lit(_LOW))
+
+    def by_own(u: Column, j: Column) -> Column:
+        """All indices by the sample's own hash function."""
+        own = F.sort_array(F.transform(u, lambda x, i: F.struct(F.xxhash64(_high(x), F.lit("own"), j).alias("h"), i.alias("i"))))
+        return F.transform(own, lambda x: x["i"])
 
     return _let(numbered(kmer_hashes(text, k)), of_points)
 
