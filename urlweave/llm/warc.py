@@ -103,12 +103,6 @@ def parse(raw: bytes) -> dict:
     return {"page_id": _page(fields.get("warc-record-id", "")), "url": fields.get("warc-target-uri", ""), "record_type": fields["warc-type"], "payload_bytes": size, "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "refers_to": _page(fields.get("warc-refers-to", "")) if is_revisit else None, "payload": None if is_revisit else payload}
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [(x.as_py() or "").encode() for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha1(p).digest() for p in payloads], pa.binary())], names=["page_id", "size", "digest"])
-
-
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -138,13 +132,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     """Write page_id, url, html as archives in ``folder``; the staged manifest: archive, bytes, records."""
     ship(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    digests = stage(pages.select("page_id", "html").mapInArrow(_digests, "page_id bigint, size bigint, digest binary"), "payload_digests")
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    sha = F.unhex(F.sha1(payload))
+    digests = stage(pages.select("page_id", F.octet_length(payload).cast("bigint").alias("size"), sha.alias("digest")), "payload_digests")
     long = digests.where(F.col("size") >= min_bytes)
     first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     revisits = long.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     # By id, not by payload: copies of one payload lie in different partitions.
-    laid = pages.withColumn("_sha", F.unhex(F.sha1(payload))).join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left")
+    laid = pages.withColumn("_sha", sha).join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left")
     rows = laid.select("page_id", "url", "html", F.col("first").alias("refers_to"), F.col("_digest").isNotNull().alias("revisit"))
     return stage(rows.mapInArrow(_writer(folder), "archive string, bytes bigint, records bigint"), "manifest")
 
