@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
+__all__ = ["SPACE", "WORD", "crc_mod", "fresh", "lean", "lower_ascii", "pieces", "quoted", "scratch_dir", "ship", "stage", "table", "with_arrow"]
+
 #: The white space of the contracts, as a regular expression class, and its complement.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,8 +23,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Where scratch tables go if the session names no folder; for local masters only.
 LOCAL_SCRATCH = "/tmp/checkpoints/urlweave"
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``.
@@ -58,14 +59,6 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package even if the caller only extended ``sys.path``."""
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if _ROOT not in known.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, known) if x)
-
-
 def pieces(batch: pa.RecordBatch, col: int, limit: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of whole rows that hold about ``limit`` bytes of a string, binary or list column; one row may have more."""
     at, values = 0, batch.column(col)
