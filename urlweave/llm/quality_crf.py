@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     return fit([(x[k : k + FIT_LINES], y) for x, y in whole for k in range(0, len(x), FIT_LINES)])
 
 
-def _scores(shared: Broadcast, at: int):
+def _scores(shared: Broadcast, at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field: Field | None = shared.value
         for batch in batches:
@@ -226,7 +226,7 @@ def _scores(shared: Broadcast, at: int):
                     out += _weighted(field, group)
                     group, lines = [], 0
             out += _weighted(field, group)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
@@ -241,13 +241,13 @@ def _weighted(field: Field | None, group: list[tuple[np.ndarray, np.ndarray]]) -
     return np.clip(np.add.reduceat(good * size, starts) / np.add.reduceat(size, starts), 0, 1).tolist()
 
 
-def score_quality(docs: DataFrame, field: Field | None) -> DataFrame:
-    """``docs`` with score; the column ``text`` is read, an existing ``score`` replaced."""
+def score_quality(docs: DataFrame, field: Field | None, name: str = "score") -> DataFrame:
+    """``docs`` with the score as ``name``; the column ``text`` is read, an existing ``name`` replaced."""
     spark = docs.sparkSession
     ship(spark)
-    kept = docs.drop("score")
+    kept = docs.drop(name)
     shared = spark.sparkContext.broadcast(field)
-    return with_arrow(kept, _scores(shared, kept.columns.index("text")), "score double")
+    return with_arrow(kept, _scores(shared, kept.columns.index("text"), name), f"{name} double")
 
 
 def in_training() -> object:
