@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlweave.llm.bpe import default_vocabulary, tokenise
-from urlweave.llm.common import WORD, ship, stage, table
+from urlweave.llm.common import WORD, fresh, quoted, ship, stage, table
 from urlweave.llm.line_dedup import dedup_lines
 from urlweave.llm.mixture import mix_documents
 from urlweave.llm.near_dedup import near_duplicates
@@ -26,25 +26,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels' training part, does not reject."""
     ship(spark)
     field = train(docs, table(spark, sf_dir, "labels").where(in_training()))
-    return score_quality(docs, field).where("score >= 0.5").select(*docs.columns)
+    score = fresh(docs, "score")
+    return score_quality(docs, field, score).where(F.col(score) >= 0.5).select(*map(quoted, docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of lines that an earlier document has."""
     cleaned = dedup_lines(docs)
-    return cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
+    return cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD)).select(*map(quoted, docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate class, whatever the ids."""
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near_rows")
-    classes = near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
-    told = rows.select("_row", "doc_id", F.xxhash64("text").alias("text_hash")).join(classes, "_row")
+    row = fresh(docs, "_row")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "near_rows")
+    classes = near_duplicates(rows, row).select(F.col("doc_id").alias("of_row"), "n_shingles", "component_id")
+    told = rows.select(F.col(row).alias("of_row"), "doc_id", F.xxhash64("text").alias("text_hash")).join(classes, "of_row")
     worded = F.col("n_shingles") > 0
-    keys = [F.when(worded, F.col("component_id")).alias("of_words"), F.when(~worded, F.struct("doc_id", "text_hash")).alias("of_row")]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "_row"))
-    kept = told.groupBy(*keys).agg(first.alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    keys = [F.when(worded, F.col("component_id")).alias("of_words"), F.when(~worded, F.struct("doc_id", "text_hash")).alias("of_text")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "of_row"))
+    kept = told.groupBy(*keys).agg(first.alias("first")).select(F.col("first.of_row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*map(quoted, docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
