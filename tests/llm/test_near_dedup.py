@@ -58,6 +58,23 @@ def test_against_all_pairs(spark, seed):
     assert got == brute(rows)
 
 
+def test_family_whose_edits_collide(spark, monkeypatch):
+    """Copies of one text with few alternatives for each edit: links between copies that are too far from the text itself."""
+    monkeypatch.setattr(N, "RARE", 3)
+    monkeypatch.setattr(N, "PIVOTS", 1)
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for k in r.sample(range(0, 100, 4), r.choice([1, 2, 3, 4, 5])):
+            w[k] = r.choice(["x", "y"])
+        rows.append((i + 1, " ".join(w)))
+    got = sorted(tuple(x) for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    want = brute(rows)
+    assert got == want and len({x[2] for x in want}) > 3
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (5, "x y z"), (None, "a b c d e f"), (None, None), (2, "w " * 60_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")

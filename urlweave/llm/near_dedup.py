@@ -9,15 +9,20 @@ five words (the whole sequence if it has fewer, nothing if it has none). Two doc
    Equal sets are one node from here on. A pair at the threshold shares no band with probability
    (1 - 0.75^3)^32 = 2.4e-8, and the chance falls with similarity.
 2. Star rounds: each node of a bucket is compared with the bucket's pivot unless both are in one component
-   already; of a node's pivots the one with the best sketch is confirmed. A bucket's pivot is its first node in
+   already; of a node's pivots the PIVOTS with the best sketches are confirmed. A bucket's pivot is its first node in
    one order of all nodes: in the first round by how many members the node meets in its buckets (the text that a
    family was copied from is like all of them, while they may not be like each other), then a random one. So the many
    buckets of a group share few pivots, and a group of g near copies costs about g confirmations, not g^2.
-3. The rest, exactly: in the buckets that still mix components, every pair of different components whose sizes
-   allow the threshold and whose sketches don't rule it out (parity bits as for a similarity under 0.58) is confirmed on the full sets.
-
-Links are confirmed on full sets of 64-bit shingle hashes, made again from the texts of just the documents that
-are in a pair; those are fetched through a bitmap of at most ``BITMAP_WORDS`` words, the only thing that is
+3. The rest, exactly: what remains are buckets that still mix components. A shingle is rare if at most RARE nodes of
+   these buckets have it. Nodes that share a rare shingle are paired through it, which makes at most RARE pairs for
+   each shingle of a node. Nodes that share none can have no more in common than the c frequent shingles of either, and a
+   link of nodes of n and m shingles needs 75 (n + m) <= 175 c. Nodes for which not even the smallest set of their bucket
+   allows that leave the bucket before anything is paired: in a family of copies with edits of their own these are the copies
+   too far from all others. Of what is left every pair of different components whose sizes, c and sketches don't rule it
+   out (parity bits as for a similarity under 0.58) is confirmed on the full sets.
+
+Links are confirmed on full sets of 64-bit shingle hashes, made again in one pass from the texts of just the documents that
+share a bucket (8 bytes a shingle, staged); those are fetched through a bitmap of at most ``BITMAP_WORDS`` words, the only thing that is
 broadcast, then joined exactly. Components come from alternating large and small star steps over staged edges.
 
 Defined cases: null and empty texts and those without words have an empty set and are linked with nothing;
@@ -49,6 +54,10 @@ SKETCH_BITS = 1024
 SKETCH_DIFFER = 239
 
 STAR_ROUNDS = 2
+PIVOTS = 3
+
+#: Nodes that have a rare shingle, at most.
+RARE = 4
 
 #: Words of the membership bitmap at most (64 bits each); a broadcast of 16 bytes for each.
 BITMAP_WORDS = 1 << 20
@@ -147,14 +156,14 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for batch in batches:
         sets = [shingle_set(t.as_py(), words) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "members"])
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "members"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+            a, b = (z.values.to_numpy() for z in (x, y))
             both = len(np.intersect1d(a, b, assume_unique=True))
             ok.append(100 * both >= PERCENT * (len(a) + len(b) - both))
         keep = pa.array(ok, pa.bool_())
@@ -165,17 +174,22 @@ def _sizes_allow(n: Column, m: Column) -> Column:
     return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT)
 
 
+def _common_allows(common: Column, n: Column, m: Column) -> Column:
+    """Whether sets of n and m members can be linked if at most ``common`` are in both."""
+    return common * (100 + PERCENT) >= (n + m) * PERCENT
+
+
 def _differ(x: str, y: str) -> Column:
     """Bits in which two sketches differ."""
     bits = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_BITS // 64)]
     return sum(bits[1:], bits[0])
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the smallest node of its component."""
     now = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct()
-    mark, steps = None, 0
-    while steps < limit:
+    mark = None
+    while True:
         both = now.unionAll(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("k"), F.least("m", "v").alias("m"))
         large = both.join(least, F.col("v") == F.col("k")).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
@@ -185,9 +199,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
-        mark, steps = seen, steps + 1
-    else:
-        raise RuntimeError("components did not settle")
+        mark = seen
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionAll(now.select("u", "u").toDF("node", "root").distinct())
 
 
@@ -206,6 +218,7 @@ class Graph:
         met = stage(buckets.join(shared, "key"), "met")
         degree = met.groupBy("node").agg(F.sum("members").alias("degree"))
         self.shared = stage(met.drop("members").join(degree, "node"), "shared")
+        self.sets = stage(self.fetched(degree.select("node")), "sets")
         self.edges: DataFrame | None = None
         self.roots: DataFrame | None = None
 
@@ -215,18 +228,19 @@ class Graph:
             return self.shared.withColumn("root", F.col("node"))
         return self.shared.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def link(self, pairs: DataFrame) -> None:
-        """Add the pairs (a, b) that the full sets confirm."""
-        pairs = stage(pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = stage(ends.join(self.nodes.select("node", "digest", "some_doc"), "node"), "wanted")
+    def fetched(self, nodes: DataFrame) -> DataFrame:
+        """The full sets (node, members) of some nodes, from the documents' texts."""
+        wanted = stage(nodes.join(self.nodes.select("node", "digest", "some_doc"), "node"), "wanted")
         spot = F.pmod(F.xxhash64(F.coalesce("some_doc", F.lit(0))), F.lit(64 * BITMAP_WORDS))
-        bitmap = wanted.select(spot.alias("spot")).groupBy(F.expr(f"spot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits"))
+        bitmap = wanted.select(spot.alias("spot")).groupBy(F.expr("spot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits"))
         docs = self.docs.withColumn("spot", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(64 * BITMAP_WORDS)))
         near = docs.join(F.broadcast(bitmap), F.expr("spot div 64") == F.col("word")).where("getbit(bits, cast(spot % 64 as int)) = 1")
-        sets = near.select("text").mapInArrow(lean(_full_sets), "digest binary, members binary").dropDuplicates(["digest"])
-        sets = wanted.select("node", "digest").join(sets, "digest").select("node", "members")
-        sided = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
+        sets = near.select("text").mapInArrow(lean(_full_sets), "digest binary, members array<bigint>").dropDuplicates(["digest"])
+        return wanted.select("node", "digest").join(sets, "digest").select("node", "members")
+
+    def link(self, pairs: DataFrame) -> None:
+        """Add the pairs (a, b) that the full sets confirm."""
+        sided = stage(pairs, "pairs").join(self.sets.toDF("a", "left"), "a").join(self.sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
         found = stage(sided.mapInArrow(lean(_confirmed), "a bigint, b bigint"), "links")
         self.edges = found if self.edges is None else self.edges.unionAll(found)
         self.roots = components(self.edges)
@@ -238,28 +252,54 @@ class Graph:
             rank = [(-F.col("degree")).alias("degree"), *rank]
         pivots = members.groupBy("key").agg(F.min(F.struct(*rank, "node", "root", "n")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         pairs = members.join(pivots, "key").where(F.col("root") != F.col("p.root")).where(_sizes_allow(F.col("n"), F.col("p.n"))).select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
-        best = self._sketched(pairs).where(F.col("differ") <= SKETCH_DIFFER).groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
-        self.link(best)
+        best = self._sketched(pairs).where(F.col("differ") <= SKETCH_DIFFER).groupBy("a").agg(F.array_sort(F.collect_list(F.struct("differ", "b"))).alias("best"))
+        self.link(best.select("a", F.explode(F.slice("best", 1, PIVOTS)).alias("p")).select("a", "p.b"))
 
     def _sketched(self, pairs: DataFrame) -> DataFrame:
         known = self.nodes.select("node", "sketch")
         return pairs.join(known.toDF("a", "sa"), "a").join(known.toDF("b", "sb"), "b").select("a", "b", _differ("sa", "sb").alias("differ"))
 
     def rest(self) -> None:
-        members = self.members().join(self.nodes.select("node", "sketch", "bands"), "node")
-        sizes = self.members().groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-        mixed = stage(members.join(sizes, "key"), "mixed")
-        few = mixed.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"), "band", F.col("bands").alias("ba"))
-        other = mixed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"), (F.col("root") == F.col("main")).alias("in_main"))
+        members = self.members().select("key", "band", "node", "n", "root")
+        mixed = stage(members.join(self._mixing(members), "key", "left_semi"), "mixed")
+        rare = stage(self._rare(mixed.select("node").distinct()), "rare")
+        held = rare.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count("*").alias("rare"))
+        # The shingles of a node that are frequent in these buckets.
+        counted = mixed.join(held, "node", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0)))
+        least = mixed.groupBy("key").agg(F.min("n").alias("least"))
+        able = stage(counted.join(least, "key").where(_common_allows(F.col("common"), F.col("n"), F.col("least"))).drop("least", "rare"), "able")
+        sketched = able.join(self._mixing(able), "key").join(self.nodes.select("node", "sketch", "bands"), "node")
+        few = sketched.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("sketch").alias("sa"), "band", F.col("bands").alias("ba"))
+        other = sketched.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"), (F.col("root") == F.col("main")).alias("in_main"))
         # A pair counts in the first band that it shares, not again in the others.
         first = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("band") + 1
-        pairs = few.join(other, "key").where((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _sizes_allow(F.col("na"), F.col("nb")) & (_differ("sa", "sb") <= SKETCH_DIFFER) & first)
-        self.link(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        fits = _sizes_allow(F.col("na"), F.col("nb")) & _common_allows(F.least("ca", "cb"), F.col("na"), F.col("nb")) & (_differ("sa", "sb") <= SKETCH_DIFFER)
+        pairs = few.join(other, "key").where((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & fits & first)
+        through_buckets = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        both = F.flatten(F.transform("nodes", lambda a: F.transform(F.filter("nodes", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+        met = rare.where(F.size("nodes") > 1).select(F.explode(both).alias("p")).select("p.a", "p.b").distinct()
+        told = mixed.select("node", "n", "root").distinct()
+        met = met.join(told.toDF("a", "na", "ra"), "a").join(told.toDF("b", "nb", "rb"), "b").where((F.col("ra") != F.col("rb")) & _sizes_allow(F.col("na"), F.col("nb"))).select("a", "b")
+        through_rare = self._sketched(met).where(F.col("differ") <= SKETCH_DIFFER).select("a", "b")
+        self.link(through_buckets.unionAll(through_rare).distinct())
+
+    @staticmethod
+    def _mixing(members: DataFrame) -> DataFrame:
+        """The buckets (key, main) whose members are of several components; main is the component of most members."""
+        roots = members.groupBy("key", "root").agg(F.count("*").alias("size"))
+        return roots.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+
+    def _rare(self, nodes: DataFrame) -> DataFrame:
+        """The nodes that have each shingle that at most RARE of them have."""
+        each = self.sets.join(nodes, "node", "left_semi").select("node", F.explode("members").alias("shingle"))
+        few = each.groupBy("shingle").agg(F.count("*").alias("held")).where(F.col("held") <= RARE).select("shingle")
+        return each.join(few, "shingle").groupBy("shingle").agg(F.collect_list("node").alias("nodes"))
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every row."""
         roots = self.nodes.select("node", "digest", "min_doc").join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = roots.groupBy("root").agg(F.min("min_doc").alias("component_id"))
+        # Staged, so that the join's hot roots are read from an exchange of its own, which adaptive execution splits.
+        least = stage(roots.groupBy("root").agg(F.min("min_doc").alias("component_id")), "least")
         of_set = roots.join(least, "root").select("digest", "component_id")
         linked = self.rows.select("doc_id", "n", "digest").join(of_set, "digest", "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
         return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
