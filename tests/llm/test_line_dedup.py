@@ -171,3 +171,13 @@ def test_units_are_the_line(spark):
     text = "\n".join(lines)
     (got,) = spark.createDataFrame([(text,)], "x string").select(L.without(F.split("x", "\n"), F.array().cast("array<bigint>"))).first()
     assert got == text
+
+
+def test_short_runs_stay(spark):
+    """Runs under RUN_WORDS words stay, whatever their grams."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(4))
+    lines = [" ".join(word() for _ in range(n)) for n in (13, 20, 24)]
+    docs = [(k, "\n".join([" ".join(word() for _ in range(40)), lines[k % 3], " ".join(word() for _ in range(40))])) for k in range(30)]
+    got = L.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(x["doc_id"], x["text"]) for x in got} == set(docs)

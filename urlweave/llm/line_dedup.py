@@ -5,12 +5,12 @@ letter isn't N to Z, which is a rule of the content alone, so a passage is cut a
 words are left out of all that follows and stay. A gram is the shortest run of units from some unit on
 that holds at least ``GRAM_WORDS`` words; a window is the shortest run that holds at least ``RUN_WORDS``. In every window
 the gram of least hash (the last of equals) is selected: so a run of RUN_WORDS or more words in whole units that two places
-share has a gram selected in both, and what is shorter than GRAM_WORDS is never looked at. Selected grams, and the whole
+share has a gram selected in both, and what is shorter stays. Selected grams, and the whole
 windows beside them, are joined to their first place, documents in order of id: the first place of a frequent gram may be
 followed by other lines, that of a window is followed by the window's own. Where a document repeats itself, only its first
 place of a fingerprint meets another document; each further one meets the place before it in the document, so that
 lines that repeat with one period are one match, however many they are. Each match is extended both ways, unit by unit, while the units agree,
-and the units of the later place are deleted, a line's break with its last unit. A unit that goes always has an equal one at an earlier place, so
+and if they hold RUN_WORDS words the units of the later place are deleted, a line's break with its last unit. A unit that goes always has an equal one at an earlier place, so
 the first copy of every unit stays, and every unit of a window that an earlier place has goes. Of a passage
 inside a line, the pieces before its first and behind its last cut stay.
 
@@ -18,7 +18,8 @@ Work is on arrays of unit hashes, some bytes for a unit; texts are shuffled once
 third of all documents share meets its first place in a join whose hot key adaptive execution splits; grams are
 never paired with each other.
 
-Defined cases: a null text stays null and an empty one empty; words are counted by the blanks between them;
+Defined cases: a null text stays null and an empty one empty; words are counted by the blanks between them, white space of other kinds
+inside a unit being part of it;
 a document of fewer than RUN_WORDS words loses nothing; rows that repeat both id and text are one document
 and are cleaned alike; of rows with one id, the order is by text hash; null ids come first; an empty table gives
 an empty table; the columns of the input stay whatever their names, with ``text`` cleaned and ``n_chars`` brought up to
@@ -41,8 +42,12 @@ WHOLE_BYTES = 4 * RUN_WORDS
 #: Where longer lines are cut: a rule of what stands around the place.
 CUT = r"(?<=[.!?] )(?![N-Zn-z ])"
 
-#: White space inside a line that counts as a blank.
-BLANKS = "\t\x0b\x0c\r"
+#: White space around a unit that isn't part of it.
+AROUND = " \t\x0b\x0c\r"
+
+#: Words of the bitmap of repeated fingerprints at most (64 bits each); a broadcast of 16 bytes for each. More fingerprints only
+#: let more others through to the exact join.
+BITMAP_WORDS = 1 << 20
 
 
 def _let(value: Column, body) -> Column:
@@ -67,7 +72,7 @@ def _worded(lines: Column) -> Column:
         words = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
         return F.struct(F.xxhash64(bare).alias("h"), F.when(bare == "", F.lit(0)).otherwise(words).alias("w"), at.alias("line"))
 
-    bare = lambda u: F.trim(F.translate(u, BLANKS, " " * len(BLANKS)))
+    bare = lambda u: F.btrim(u, F.lit(AROUND))
     each = F.transform(lines, lambda x, i: F.transform(units_of(x), lambda u, k: _let(bare(u), lambda t: told(t, place(i, k)))))
     return F.filter(F.flatten(each), lambda x: x["w"] > 0)
 
@@ -96,7 +101,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def selected_grams(lines: DataFrame) -> DataFrame:
-    """The fingerprints: doc_id, text_hash, at (index among the units with words), gram (or a whole window's hash)."""
+    """The fingerprints: doc_id, text_hash, at (index among the units with words), gram (or a whole window's hash), and the document's last place of it before, if any."""
     each = lines.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("h", "w")).alias("at", "l")).select("doc_id", "text_hash", "at", "l.*")
     doc = Window.partitionBy("doc_id", "text_hash")
     begin = F.coalesce(F.sum("w").over(doc.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -111,23 +116,35 @@ def selected_grams(lines: DataFrame) -> DataFrame:
     least = F.array_min(F.filter("grams", lambda g: g["gram_end"] <= F.col("run_end")))
     both = F.array(F.struct((-F.col("g.back")).alias("at"), F.col("g.gram").alias("gram")), F.struct("at", F.col("run").alias("gram")))
     chosen = window.withColumn("g", least).select("doc_id", "text_hash", F.inline(both))
-    return chosen.distinct()
+    again = Window.partitionBy("doc_id", "text_hash", "gram").orderBy("at")
+    return chosen.distinct().withColumn("before", F.lag("at").over(again))
+
+
+def _spot(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(64 * BITMAP_WORDS))
+
+
+def repeated(grams: DataFrame) -> DataFrame:
+    """The documents' first places of fingerprints that an earlier document has, with the first of all as f."""
+    own = grams.where("before is null").drop("before")
+    firsts = own.groupBy("gram").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    firsts = stage(firsts.select("gram", "f"), "firsts")
+    # Most fingerprints have one place: a bitmap keeps them from the join's shuffle.
+    bits = firsts.select(_spot(F.col("gram")).alias("spot")).groupBy(F.expr("spot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits"))
+    maybe = own.withColumn("spot", _spot(F.col("gram"))).join(F.broadcast(bits), F.expr("spot div 64") == F.col("word")).where("getbit(bits, cast(spot % 64 as int)) = 1").drop("spot", "word", "bits")
+    here = F.struct("doc_id", "text_hash", "at")
+    return maybe.join(firsts, "gram").where(~here.eqNullSafe(F.col("f")))
 
 
 def deleted_lines(lines: DataFrame) -> DataFrame:
     """doc_id, text_hash and the sorted places that go."""
     grams = stage(selected_grams(lines), "grams")
-    first = grams.groupBy("gram").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "f")
-    own = Window.partitionBy("gram", "doc_id", "text_hash").orderBy("at")
-    placed = grams.join(first, "gram").withColumn("before", F.lag("at").over(own))
-    again = F.struct("doc_id", "text_hash", F.col("before").alias("at"))
-    placed = placed.withColumn("f", F.when(F.col("before").isNull(), F.col("f")).otherwise(again)).drop("before")
-    here = F.struct("doc_id", "text_hash", "at")
-    later = placed.where(~here.eqNullSafe(F.col("f")))
+    inside = grams.where("before is not null").withColumn("f", F.struct("doc_id", "text_hash", F.col("before").alias("at"))).drop("before")
+    later = repeated(grams).unionByName(inside)
     # Matches of one document with one earlier place lie on diagonals: one row for each, with the matched indices.
     diagonals = later.groupBy("doc_id", "text_hash", F.col("f.doc_id").alias("doc_0"), F.col("f.text_hash").alias("hash_0"), (F.col("at") - F.col("f.at")).alias("shift")).agg(F.array_sort(F.collect_set("at")).alias("hits"))
     other = lines.select(F.col("doc_id").alias("id_0"), F.col("text_hash").alias("th_0"), F.col("h").alias("h0"))
-    mine = lines.select(F.col("doc_id").alias("id_1"), F.col("text_hash").alias("th_1"), "h", "line")
+    mine = lines.select(F.col("doc_id").alias("id_1"), F.col("text_hash").alias("th_1"), "h", "w", "line")
     sided = diagonals.join(other, F.col("doc_0").eqNullSafe(F.col("id_0")) & (F.col("hash_0") == F.col("th_0"))).drop("id_0", "th_0")
     sided = sided.join(mine, F.col("doc_id").eqNullSafe(F.col("id_1")) & (F.col("text_hash") == F.col("th_1")))
     n = F.size("h")
@@ -135,7 +152,8 @@ def deleted_lines(lines: DataFrame) -> DataFrame:
     apart = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get("h", i).eqNullSafe(F.when(i >= F.col("shift"), F.get("h0", i - F.col("shift")))))
     breaks = sided.withColumn("breaks", F.concat(F.array(F.lit(-1)), apart, F.array(n)))
     runs = F.filter(F.transform("breaks", lambda b, k: F.struct((b + 1).alias("low"), (F.get("breaks", k + 1) - 1).alias("high"))), lambda r: r["high"].isNotNull() & (r["high"] >= r["low"]))
-    matched = F.filter(runs, lambda r: F.exists("hits", lambda x: (x >= r["low"]) & (x <= r["high"])))
+    long = lambda r: F.aggregate(F.slice("w", r["low"] + 1, r["high"] - r["low"] + 1), F.lit(0), lambda n, w: n + w) >= RUN_WORDS
+    matched = F.filter(runs, lambda r: F.exists("hits", lambda x: (x >= r["low"]) & (x <= r["high"])) & long(r))
     gone = F.flatten(F.transform(matched, lambda r: F.slice("line", r["low"] + 1, r["high"] - r["low"] + 1)))
     return breaks.select("doc_id", "text_hash", gone.alias("gone")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
