@@ -137,8 +137,9 @@ def test_outcomes_sum_to_one():
     model = M.Trained([(b"the", 3)], np.zeros((M.CLASSES, M.BUCKETS)), M.KIND)
     for level in model.levels:
         level.weights = r.normal(size=level.weights.shape)
-        rows = r.integers(0, level.rows, (9, level.kinds + 1))
-        assert np.allclose(level.probabilities(rows).sum(axis=1), 1)
+        level.lay()
+        rows = r.integers(0, level.rows, (level.kinds + 1, 9))
+        assert np.allclose(level.probabilities(rows).sum(axis=0), 1)
         every = [level.log_probability(rows, np.full(9, k)) for k in range(level.width)]
         assert np.allclose(np.exp(every).sum(axis=0), 1)
 
@@ -193,5 +194,5 @@ def test_slots_grow_with_tokens():
     h, c = np.arange(1, 50, dtype=np.uint64) * np.uint64(M._BASE), np.full(49, M.CLASSES - 1)
     f, near = M.features(h, c, np.array([0, 20]), M.MOST_SLOTS)
     low = M.KIND * (M.KINDS - 1)
-    assert f[:, -1].min() >= low and low + M.KIND <= f[:, -1].max() < low + M.MOST_SLOTS
-    assert near[:, 0].max() < M.NEAR <= near[:, 1].min() and near.max() < M.NEAR + M.CLASSES
+    assert f[-1].min() >= low and low + M.KIND <= f[-1].max() < low + M.MOST_SLOTS
+    assert near[0].max() < M.NEAR <= near[1].min() and near.max() < M.NEAR + M.CLASSES

@@ -209,7 +209,7 @@ def word_slots(tokens: int) -> int:
 
 
 def features(h: np.ndarray, c: np.ndarray, starts: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """The feature numbers of each token for groups and classes, and for buckets, from the tokens' hashes and classes and where texts start; 0 stands before a text."""
+    """The feature numbers of each token, a row for each kind, for groups and classes, and for buckets; from the tokens' hashes and classes and where texts start; 0 stands before a text."""
     place = np.arange(len(c)) - np.repeat(starts, np.diff([*starts, len(c)]))
 
     def back(x: np.ndarray, k: int) -> np.ndarray:
@@ -220,8 +220,8 @@ def features(h: np.ndarray, c: np.ndarray, starts: np.ndarray, slots: int) -> tu
 
     word = (back(h, 1) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
     pairs = [(back(c, k) * CLASSES + back(c, k + 1)) % KIND for k in (1, 3, 5)]
-    far = np.stack([*(KIND * j + x for j, x in enumerate(pairs)), KIND * len(pairs) + (word % np.uint64(slots)).astype(np.int64)], axis=1)
-    return far, np.stack([(word % np.uint64(NEAR)).astype(np.int64), NEAR + back(c, 2)], axis=1)
+    far = np.stack([*(KIND * j + x for j, x in enumerate(pairs)), KIND * len(pairs) + (word % np.uint64(slots)).astype(np.int64)])
+    return far, np.stack([(word % np.uint64(NEAR)).astype(np.int64), NEAR + back(c, 2)])
 
 
 class Level:
@@ -235,46 +235,59 @@ class Level:
         self.weights = np.zeros((self.rows, width), np.float32)
 
     def rows_of(self, f: np.ndarray, context: np.ndarray | int) -> np.ndarray:
-        """Row numbers of the features and, last, of the bias."""
-        rows = np.empty((len(f), self.kinds + 1), np.int64)
-        rows[:, :-1] = f
-        rows[:, -1] = self.edges[-1]
-        return rows * self.contexts + (context[:, None] if isinstance(context, np.ndarray) else context)
+        """Row numbers in the table: of the features, a line for each kind, and last of the bias."""
+        rows = np.empty((self.kinds + 1, f.shape[1]), np.int64)
+        np.multiply(f, self.contexts, out=rows[:-1])
+        rows[-1] = self.edges[-1] * self.contexts
+        rows += context
+        return rows
 
     def stretches(self) -> list[tuple[int, int]]:
         """First and last-but-one row of each kind, the bias last."""
         ends = [*self.edges, self.edges[-1] + 1]
         return [(a * self.contexts, b * self.contexts) for a, b in zip(ends, ends[1:], strict=False)]
 
+    def lay(self) -> None:
+        """Lay the weights out by outcome, as the sums below read them."""
+        self.by_outcome = np.ascontiguousarray(self.weights.T, np.float32)
+
     def sides(self, rows: np.ndarray) -> np.ndarray:
-        """Weights summed, a row for each token, less the row's largest."""
-        z = self.weights[rows[:, 0]]
-        for j in range(1, rows.shape[1]):
-            z += self.weights[rows[:, j]]
-        z -= z.max(axis=1, keepdims=True)
+        """Weights summed, a line for each outcome, less each token's largest."""
+        z, part = np.empty((self.width, rows.shape[1]), np.float32), np.empty(rows.shape[1], np.float32)
+        for line, of_outcome in zip(z, self.by_outcome, strict=True):
+            np.take(of_outcome, rows[0], out=line, mode="clip")
+            for at in rows[1:]:
+                np.take(of_outcome, at, out=part, mode="clip")
+                line += part
+        z -= z.max(axis=0)
         return z
 
     def probabilities(self, rows: np.ndarray) -> np.ndarray:
-        p = np.exp(self.sides(rows))
-        p /= p.sum(axis=1, keepdims=True)
+        p = self.sides(rows)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0)
         return p
 
     def log_probability(self, rows: np.ndarray, outcome: np.ndarray) -> np.ndarray:
         """Natural log probability of each token's outcome."""
         z = self.sides(rows)
-        return z[np.arange(len(z)), outcome] - np.log(np.exp(z).sum(axis=1))
+        return z[outcome, np.arange(z.shape[1])] - np.log(np.exp(z).sum(axis=0))
 
     def observe(self, total: np.ndarray, rows: np.ndarray, outcome: np.ndarray) -> None:
-        for j, (low, high) in enumerate(self.stretches()):
-            total[low:high] += np.bincount((rows[:, j] - low) * self.width + outcome, minlength=(high - low) * self.width).reshape(-1, self.width)
+        """Add the counts of outcomes to a table by outcome."""
+        for at, (low, high) in zip(rows, self.stretches(), strict=True):
+            size = high - low
+            total[:, low:high] += np.bincount(outcome * size + (at - low), minlength=size * self.width).reshape(self.width, size)
 
     def expect(self, total: np.ndarray, rows: np.ndarray) -> None:
-        p = np.empty((len(rows), self.width), np.float32)
-        for i in range(0, len(rows), TOKENS_AT_ONCE):
-            p[i : i + TOKENS_AT_ONCE] = self.probabilities(rows[i : i + TOKENS_AT_ONCE])
-        outcomes, flat = np.arange(self.width), p.ravel()
-        for j, (low, high) in enumerate(self.stretches()):
-            total[low:high] += np.bincount(((rows[:, j, None] - low) * self.width + outcomes).ravel(), weights=flat, minlength=(high - low) * self.width).reshape(-1, self.width)
+        """Add the expected counts of outcomes to a table by outcome."""
+        p = np.empty((self.width, rows.shape[1]))
+        for i in range(0, rows.shape[1], TOKENS_AT_ONCE):
+            p[:, i : i + TOKENS_AT_ONCE] = self.probabilities(rows[:, i : i + TOKENS_AT_ONCE])
+        for at, (low, high) in zip(rows, self.stretches(), strict=True):
+            at = at - low
+            for k, weight in enumerate(p):
+                total[k, low:high] += np.bincount(at, weights=weight, minlength=high - low)
 
     def start(self, seen: np.ndarray) -> None:
         """Log odds of the observed counts against those of the bias alone, smoothed; they count in part, as the features overlap."""
@@ -314,7 +327,7 @@ class Trained:
         group = c // WIDTH
         yield self.levels[0], every, self.levels[0].rows_of(far, 0), group
         yield self.levels[1], every, self.levels[1].rows_of(far, group), c % WIDTH
-        yield self.levels[2], inside, self.levels[2].rows_of(near[inside], c[inside]), tokens.bucket[inside]
+        yield self.levels[2], inside, self.levels[2].rows_of(near[:, inside], c[inside]), tokens.bucket[inside]
 
     def log_factors(self, tokens: Tokens) -> np.ndarray:
         """log10 of the probability of each token's bucket, less that of the bucket's room."""
@@ -322,7 +335,7 @@ class Trained:
         for level, at, rows, outcome in self.choices(tokens):
             for k in range(0, len(at), TOKENS_AT_ONCE):
                 part = slice(k, k + TOKENS_AT_ONCE)
-                out[at[part]] += level.log_probability(rows[part], outcome[part])
+                out[at[part]] += level.log_probability(rows[:, part], outcome[part])
         c = tokens.cls
         return out / math.log(10) - self.log_room[c, np.where(c < HEAD, 0, tokens.bucket)]
 
@@ -358,7 +371,9 @@ def _sums(shared: Broadcast, expected: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Trained = shared.value
-        totals = [np.zeros(level.weights.shape) for level in model.levels]
+        totals = [np.zeros((level.width, level.rows)) for level in model.levels]
+        for level in model.levels:
+            level.lay()
         for batch in batches:
             for tokens in grouped(t.as_py() for t in batch.column(0)):
                 for total, (level, _, rows, outcome) in zip(totals, model.choices(tokens), strict=True):
@@ -366,7 +381,7 @@ def _sums(shared: Broadcast, expected: bool):
                         level.expect(total, rows)
                     else:
                         level.observe(total, rows, outcome)
-        flat = np.concatenate([t.ravel() for t in totals]).astype(np.float32)
+        flat = np.concatenate([t.T.ravel() for t in totals]).astype(np.float32)
         parts = [flat[k : k + STRETCH].tobytes() for k in range(0, len(flat), STRETCH)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["stretch", "task", "vals"])
 
@@ -411,6 +426,8 @@ def _scored(shared: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Trained = shared.value
+        for level in model.levels:
+            level.lay()
         for batch in batches:
             n_tokens, n_known, logs, classes, rare, times = [], [], [], [], [], []
             for tokens in grouped(t.as_py() for t in batch.column(2)):
