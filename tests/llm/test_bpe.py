@@ -102,3 +102,34 @@ def test_odd_rows(spark):
     got = B.decode(B.encode(docs, PATH, PATTERN), PATH)
     assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0, r["decoded"]) for r in got.collect()) == [(0, True, "abc"), (1, False, ""), (2, False, ""), (2, False, "")]
     assert B.encode(docs.limit(0), PATH, PATTERN).collect() == []
+
+
+def test_frequent_words_outlast_rare_ones(monkeypatch):
+    monkeypatch.setattr(B, "MEMO_BYTES", 60_000)
+    path, pattern = B.default_vocabulary()
+    encoder = B.Encoder(B.read_ranks(path), pattern)
+    made = []
+    by_machine = encoder.machine.encode
+    monkeypatch.setattr(encoder.machine, "encode", lambda piece: made.append(piece) or by_machine(piece))
+    for k in range(2000):
+        encoder.encode(f"the {''.join(chr(97 + int(c)) for c in str(k * 7919))} the")
+    assert made.count(b" the") == 1
+    held = [*encoder.memo.items(), *encoder.memo.old.items()]
+    assert sum(B.getsizeof(k) + B.getsizeof(v) + B.ENTRY_BYTES for k, v in held) <= B.MEMO_BYTES
+
+
+def test_pairs_and_suffixes_outlast_states(monkeypatch):
+    tokens = B.read_ranks(B.default_vocabulary()[0])
+    machine = B.Transducer(tokens)
+    words = [w.encode() for w in (" photosynthesis", " unbelievable", " straße", " zzqxj", " 12345")]
+    first = [machine.encode(w) for w in words]
+    looked = []
+    pair = machine.pair
+    monkeypatch.setattr(machine, "pair", lambda *a: looked.append(a) or pair(*a))
+    machine.reset()
+    assert [machine.encode(w) for w in words] == first and not looked
+    monkeypatch.setattr(B, "MAX_MOVES", 20)
+    monkeypatch.setattr(B, "MAX_PAIRS", 5)
+    small = B.Transducer(tokens)
+    assert [small.encode(w) for w in words] == first
+    assert len(small._pair) <= 5 and len(small._followers) <= 20

@@ -7,14 +7,14 @@ transducer reads a piece byte by byte. Its state is the longest suffix that a to
 last token at every boundary inside that suffix; each move gives the last token at the new boundary. Tokens are
 emitted as soon as the encodings that end at all live boundaries begin with them, which is looked for whenever
 a few token lengths are waiting, so that what waits is bounded. States and moves are made when a text first
-needs them (determinised lazily) and are dropped when their number passes a bound; so are memorised pieces.
+needs them (determinised lazily) and are dropped when their number passes a bound; so are the memorised pieces that were not asked for again.
 
 Decoding is a second machine: tokens to bytes, and an incremental UTF-8 automaton that gives out complete
 characters and carries the bytes of an open one into the next chunk; bad bytes give U+FFFD as Python's
 "replace" does.
 
 ``tokenise`` runs both machines in one worker: a text goes in, its ids and whether they decode to it come out.
-What a worker holds is bounded in bytes: memos by MEMO_BYTES, the machine by MAX_MOVES, a batch that goes out by BATCH_BYTES
+What a worker holds is bounded in bytes: the memo by MEMO_BYTES, the machine by MAX_MOVES and MAX_PAIRS, a batch that goes out by BATCH_BYTES
 or one text.
 
 Defined cases: a null text counts as empty and encodes to no ids; special tokens' strings are ordinary text;
@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import pieces, ship, table, with_arrow
 
-#: Moves of the machine at most (some 300 bytes each with their states); beyond, it starts anew.
+#: Moves of the machine at most (some 300 bytes each with their states), and of its live suffixes; beyond, they start anew.
 MAX_MOVES = 100_000
 
-#: Bytes of memorised pieces at most, in each of two memos; beyond, a memo starts anew.
-MEMO_BYTES = 32_000_000
+#: Bytes of memorised pieces at most; half of them go when it's full.
+MEMO_BYTES = 64_000_000
 
 #: Bytes of text that are worked on at once, unless one text has more.
 BATCH_BYTES = 2_000_000
@@ -53,6 +53,9 @@ ENTRY_BYTES = 100
 #: Pieces longer than this many bytes aren't memorised.
 LONG_PIECE = 64
 
+#: Remembered pairs of neighbouring tokens at most (some 100 bytes each); beyond, they are looked at anew.
+MAX_PAIRS = 300_000
+
 
 def read_ranks(path: str) -> list[bytes]:
     """A tiktoken rank file as the list of tokens by id."""
@@ -74,17 +77,20 @@ class Transducer:
         self.lookahead = 4 * max(map(len, tokens), default=0)
         self.prefixes = {t[:k] for t in tokens for k in range(len(t) + 1)}
         self._halves: dict[int, tuple[int, int] | None] = {}
+        self._pair: dict[int, bool] = {}
+        self._suffixes = [b""]
+        self._suffix_of = {b"": 0}
+        self._followers: dict[int, tuple[int, int, list[tuple[int, int]]]] = {}
         self.reset()
 
-    def reset(self, live: tuple[bytes, tuple[int, ...]] | None = None) -> int:
+    def reset(self, live: tuple[int, tuple[int, ...]] | None = None) -> int:
         """Forget all states but the first and ``live``; the number of ``live``."""
-        #: A state is (live suffix, last token at each boundary of it from its start to its end; -1 at the piece's start).
-        self.states: list[tuple[bytes, tuple[int, ...]]] = [(b"", (-1,))]
+        #: A state is (number of the live suffix, last token at each boundary of it from its start to its end; -1 at the piece's start).
+        self.states: list[tuple[int, tuple[int, ...]]] = [(0, (-1,))]
         if live is not None and live != self.states[0]:
             self.states.append(live)
         self.state_of = {x: k for k, x in enumerate(self.states)}
         self.moves: dict[int, tuple[int, int]] = {}
-        self._pair: dict[int, bool] = {}
         return len(self.states) - 1
 
     def merged(self, piece: bytes) -> list[int]:
@@ -135,27 +141,40 @@ class Transducer:
             else:
                 limit, right = right + 1, b[0]
 
+    def suffix(self, node: int, byte: int) -> tuple[int, int, list[tuple[int, int]]]:
+        """The live suffix that follows another: its number, how many bytes go before it, and the tokens that may end there, longest first, with where they start.
+
+        There are no more suffixes than prefixes of tokens, so their numbers stay when states go.
+        """
+        if len(self._followers) >= MAX_MOVES:
+            self._followers.clear()
+        text, drop, get = self._suffixes[node] + bytes([byte]), 0, self.rank.get
+        tokens = [(k, t) for k in range(len(text)) if (t := get(text[k:])) is not None and self.own(t)]
+        while text[drop:] not in self.prefixes:
+            drop += 1
+        at = self._suffix_of.setdefault(text[drop:], len(self._suffixes))
+        if at == len(self._suffixes):
+            self._suffixes.append(text[drop:])
+        found = self._followers[node << 8 | byte] = (at, drop, tokens)
+        return found
+
     def move(self, state: int, byte: int) -> tuple[int, int]:
         """The next state and the last token of the encoding so far; made on first use."""
-        suffix, last = self.states[state]
-        text = suffix + bytes([byte])
-        get, pairs = self.rank.get, self._pair
-        for start in range(len(text)):
-            if (token := get(text[start:])) is None or not self.own(token):
-                continue
+        node, last = self.states[state]
+        node, drop, tokens = self._followers.get(node << 8 | byte) or self.suffix(node, byte)
+        pairs = self._pair
+        for start, token in tokens:
             if (before := last[start]) < 0:
                 break
             if (ok := pairs.get(before << 32 | token)) is None:
+                if len(pairs) >= MAX_PAIRS:
+                    pairs.clear()
                 ok = pairs[before << 32 | token] = self.pair(before, token)
             if ok:
                 break
         else:
             raise ValueError("the ranks lack a single byte")
-        prefixes = self.prefixes
-        drop = 0
-        while text[drop:] not in prefixes:
-            drop += 1
-        new = (text[drop:], (*last[drop:], token))
+        new = (node, (*last[drop:], token))
         at = self.state_of.setdefault(new, len(self.states))
         if at == len(self.states):
             self.states.append(new)
@@ -207,12 +226,10 @@ class Transducer:
         if len(moves) >= MAX_MOVES:
             self.reset()
             moves = self.moves
+        get, put = moves.get, last.append
         for byte in piece:
-            try:
-                state, token = moves[state << 8 | byte]
-            except KeyError:
-                state, token = self.move(state, byte)
-            last.append(token)
+            state, token = get(state << 8 | byte) or self.move(state, byte)
+            put(token)
         return self.path(last, len(last) - 1)
 
 
@@ -224,17 +241,23 @@ LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 
 
 class Memo(dict):
-    """Strings to packed little-endian ids; what is missing is made, and kept while there's room."""
+    """Strings to packed little-endian ids; what is missing is made, and kept while there's room.
 
-    def __init__(self, make, lead: str = ""):
+    When half the room is taken what is held grows old, and what was old and not asked for since goes.
+    """
+
+    def __init__(self, make):
         super().__init__()
-        self.make, self.lead, self.bytes = make, lead, 0
+        self.make, self.bytes = make, 0
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.make(self.lead + text)
+        if (ids := self.old.get(text)) is None:
+            ids = self.make(text)
         if len(text) <= LONG_PIECE:
             size = getsizeof(text) + getsizeof(ids) + ENTRY_BYTES
-            if self.bytes + size > MEMO_BYTES:
+            if 2 * (self.bytes + size) > MEMO_BYTES:
+                self.old = dict(self)
                 self.clear()
                 self.bytes = 0
             self[text] = ids
@@ -243,10 +266,11 @@ class Memo(dict):
 
 
 class Encoder:
-    """Texts to packed ids: the transducer on each piece of the pattern, behind bounded memos.
+    """Texts to packed ids: the transducer on each piece of the pattern, behind a bounded memo.
 
     With ``SPACE_LED`` a text without a loose space falls apart before every space, whatever stands around it;
-    so the memo can hold what is between two spaces, and the pattern only runs on what is new.
+    so the memo holds what begins with a space and runs to the next one, beside the pattern's pieces (each is its own only
+    piece), and the pattern only runs on what is new.
     """
 
     def __init__(self, tokens: list[bytes], pattern: str):
@@ -254,21 +278,24 @@ class Encoder:
 
         self.machine = Transducer(tokens)
         self.find = regex.compile(pattern).findall
-        self.pieces = Memo(self.by_machine)
-        self.spaced = Memo(self.by_pattern, " ") if pattern == SPACE_LED else None
+        self.space_led = pattern == SPACE_LED
+        self.memo = Memo(self.by_space if self.space_led else self.by_machine)
 
     def by_machine(self, piece: str) -> bytes:
         ids = self.machine.encode(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def by_space(self, text: str) -> bytes:
+        found = self.find(text)
+        return self.by_machine(text) if len(found) == 1 else b"".join(map(self.memo.__getitem__, found))
+
     def by_pattern(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        return b"".join(map(self.memo.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> bytes:
-        if self.spaced is None or LOOSE_SPACE.search(text):
+        if not self.space_led or "\0" in text or LOOSE_SPACE.search(text):
             return self.by_pattern(text)
-        first, *rest = text.split(" ")
-        return self.by_pattern(first) + b"".join(map(self.spaced.__getitem__, rest))
+        return b"".join(map(self.memo.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
 
 class Utf8Stream:
