@@ -107,3 +107,14 @@ def test_components_of_long_chains(spark):
     random.Random(0).shuffle(edges)
     got = {tuple(r) for r in N.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {(k, k // 50 * 50) for k in range(200)}
+
+
+def test_few_edges_cost_few_jobs(spark, monkeypatch):
+    r = random.Random(5)
+    edges = spark.createDataFrame([(r.randrange(90), r.randrange(90)) for _ in range(60)] + [(1 << 60, (1 << 60) + 1)], "a bigint, b bigint").where("a <> b")
+    spark.sparkContext.setJobGroup("few_edges", "")
+    local = sorted(tuple(x) for x in N.components(edges).collect())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few_edges")) <= 5
+    monkeypatch.setattr(N, "LOCAL_EDGES", 0)
+    assert sorted(tuple(x) for x in N.components(edges).collect()) == local
