@@ -33,6 +33,23 @@ def test_against_sql(spark, duck, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(repr, result.fetchall()))
 
 
+@pytest.mark.parametrize("name", ["more_edits", "authority_edits", "resolved_references", "built_urls", "url_text"])
+def test_rows_of_one_file_fall_to_many_tasks(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(links, "SPREAD_ROWS", 20)
+    for table in ("customer", "part", "pages"):
+        d = spark.read.parquet(f"{SF}/{table}.parquet")
+        d.unionByName(d).coalesce(1).write.parquet(f"file://{tmp_path}/{table}.parquet")
+    made = catalog.queries()[name](spark, f"file://{tmp_path}")
+    sizes = [r["count"] for r in made.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    n = spark.read.parquet(f"file://{tmp_path}/{'part' if name == 'built_urls' else 'pages' if name == 'url_text' else 'customer'}.parquet").count()
+    assert n >= 100 and sum(sizes) == n and max(sizes) <= 25
+
+
+def test_spread_of_nothing_and_of_few(spark):
+    assert links.spread(spark.range(0)).collect() == []
+    assert sorted(r[0] for r in links.spread(spark.range(7)).collect()) == list(range(7))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "urls.txt").write_text("http://a/x\nhttp://:1\nhttp://b:80/?q=1\n")
     good, bad = parsed_and_rejected(read_urls(spark, f"file://{tmp_path}/urls.txt"))

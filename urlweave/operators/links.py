@@ -13,6 +13,12 @@ from ..functions.urls import Url
 from ..schema import URL_METADATA
 from ..session import ship
 
+#: Rows of a table of short rows that one task works on: some seconds of URL expressions.
+SPREAD_ROWS = 10_000
+
+#: Tasks that a table is dealt over at most.
+SPREAD_TASKS = 20_000
+
 HREF = r"""href\s*=\s*["']([^"'<>]*)["']"""
 
 
@@ -22,6 +28,17 @@ def with_url(df: DataFrame, url: str | Column = "url", name: str = "u", strict:
     return df.withColumn(name, Url.parse(url, strict=strict).col).withMetadata(name, URL_METADATA)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, for tables of short rows: dealt evenly over tasks of SPREAD_ROWS rows, or over all cores if these would get less.
+
+    A file's splits go by bytes and row groups, so millions of short rows can come in one task, and a URL's expressions
+    take far more time than its bytes. Rows are counted, which takes the files' footers alone.
+    """
+    rows = df.count()
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, rows // (SPREAD_ROWS // 10))
+    return df.repartition(max(1, cores, min(SPREAD_TASKS, -(-rows // SPREAD_ROWS))))
+
+
 def host_rollup(df: DataFrame, name: str = "u") -> DataFrame:
     """Rows, and the share of https, by host."""
     u = Url(name)

@@ -23,8 +23,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _rows(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Short columns of a table, dealt evenly over tasks."""
+    return links.spread(_table(spark, sf_dir, name).select(*columns))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.with_url(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return links.with_url(_rows(spark, sf_dir, "pages", "page_id", "url"))
 
 
 def hosts_by_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +84,7 @@ def url_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _harder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    customers = _rows(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
     url = F.concat(F.lit("HTTP://U%20ser:p%40@Shop"), F.col("c_custkey"), F.lit(".Example.COM:80/a/./b/../"), F.replace("c_name", F.lit("#"), F.lit("%23")), F.lit("/x y?q="), F.col("c_mktsegment"), F.lit("&r=%2b%20+#f%41 g"))
     return links.with_url(customers.withColumn("url", url))
 
@@ -104,7 +109,7 @@ def path_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def built_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs put together from columns."""
-    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    parts = _rows(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
     made = Url.build(scheme="https", host="parts.example", port=F.col("p_size") + 8000, path=F.concat(F.lit("/"), F.col("p_name")), query={"key": F.col("p_partkey"), "n": F.col("p_name")})
     return parts.select("p_partkey", made.col.alias("u")).select("p_partkey", U.text.alias("text"))
 
@@ -118,7 +123,7 @@ def quoted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dot segments folded."""
     path = F.concat(F.lit("/"), F.col("c_name"), F.lit("/../"), F.col("c_nationkey"), F.lit("/./x/../../../"), F.col("c_custkey"), F.lit("/."))
-    return _table(spark, sf_dir, "customer").select("c_custkey", normalize_path(path).alias("path"))
+    return _rows(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey").select("c_custkey", normalize_path(path).alias("path"))
 
 
 def _turn(values: list[str]) -> Column:
@@ -137,7 +142,7 @@ _WRONG = [
 def url_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why strings are no URLs."""
     url = F.concat(F.lit("http://"), _turn([x for x, _ in _WRONG]), F.col("c_custkey"))
-    d = _table(spark, sf_dir, "customer").select("c_custkey", url.alias("url")).withColumn("error", Url.error("url"))
+    d = _rows(spark, sf_dir, "customer", "c_custkey").select("c_custkey", url.alias("url")).withColumn("error", Url.error("url"))
     return d.select("c_custkey", "error", F.col("error").isNull().alias("is_valid"))
 
 
@@ -158,7 +163,7 @@ _HOSTS = [
 
 def international_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts that must be coded: IDNA, IPv6 and zones."""
-    d = links.with_url(_table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("http://"), _turn([h[0] for h in _HOSTS]), F.lit("/"), F.col("c_custkey")).alias("url")))
+    d = links.with_url(_rows(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.concat(F.lit("http://"), _turn([h[0] for h in _HOSTS]), F.lit("/"), F.col("c_custkey")).alias("url")))
     return d.select("c_custkey", U.raw_host.alias("raw_host"), U.host.alias("host"), U.host_subcomponent.alias("host_subcomponent"), U.host_port_subcomponent.alias("host_port"))
 
 
@@ -189,7 +194,7 @@ def more_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def built_authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs built from an authority, from users and hosts, and from coded parts."""
-    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    parts = _rows(spark, sf_dir, "part", "p_partkey", "p_size")
     authority = F.concat(F.lit("U s:p@Host"), F.col("p_partkey"), F.lit(":8"), F.col("p_size"))
     by_authority = Url.build(scheme="http", authority=authority, path="/a b/../c")
     by_user = Url.build(scheme="ftp", user=F.concat(F.lit("u/"), F.col("p_partkey")), password="p:w", host="B\u00fccher.Example", port=21, path="/x")
@@ -208,7 +213,7 @@ _REFERENCES = [
 
 def resolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of every kind against one base."""
-    d = _table(spark, sf_dir, "customer").select("c_custkey", F.lit("http://a/b/c/d;p?q").alias("base"), _turn([r for r, _ in _REFERENCES]).alias("ref"))
+    d = _rows(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.lit("http://a/b/c/d;p?q").alias("base"), _turn([r for r, _ in _REFERENCES]).alias("ref"))
     both = links.with_url(links.with_url(d, "base", "b"), "ref", "r")
     return both.select("c_custkey", "ref", Url("b").join(Url("r")).text.alias("target"))
 
