@@ -33,7 +33,7 @@ def test_against_sql(spark, duck, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(repr, result.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["more_edits", "authority_edits", "resolved_references", "built_urls", "url_text"])
+@pytest.mark.parametrize("name", ["more_edits", "raw_accessors", "authority_edits", "resolved_references", "built_urls", "url_text"])
 def test_rows_of_one_file_fall_to_many_tasks(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(links, "SPREAD_ROWS", 20)
     for table in ("customer", "part", "pages"):
