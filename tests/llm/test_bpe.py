@@ -133,3 +133,18 @@ def test_pairs_and_suffixes_outlast_states(monkeypatch):
     small = B.Transducer(tokens)
     assert [small.encode(w) for w in words] == first
     assert len(small._pair) <= 5 and len(small._followers) <= 20
+
+
+def test_short_pieces_are_searched_without_states(tokens):
+    machine, r = B.Transducer(tokens), random.Random(9)
+    pieces = ["".join(r.choice("abeinrstüßé漢😀 %1") for _ in range(r.randint(1, 30))).encode() for _ in range(2000)]
+    pieces += [t for t in r.sample(tokens, 2000)] + [r.randbytes(r.randint(1, 12)) for _ in range(1000)]
+    assert [machine.encode(p) for p in pieces] == [machine.merged(p) for p in pieces]
+    assert len(machine.states) == 1 and not machine.moves
+
+
+def test_the_search_goes_back():
+    tokens = [bytes([k]) for k in range(256)] + [b"bc", b"ab", b"abc", b"cd"]
+    machine = B.Transducer(tokens)
+    texts = [bytes(r) for n in range(1, 7) for r in np.array(np.meshgrid(*[list(b"abcd")] * n)).reshape(n, -1).T.tolist()]
+    assert [machine.encode(t) for t in texts] == [machine.merged(t) for t in texts]

@@ -6,7 +6,8 @@ and after every byte the last token is the suffix token that agrees with the las
 transducer reads a piece byte by byte. Its state is the longest suffix that a token could still start in, with the
 last token at every boundary inside that suffix; each move gives the last token at the new boundary. Tokens are
 emitted as soon as the encodings that end at all live boundaries begin with them, which is looked for whenever
-a few token lengths are waiting, so that what waits is bounded. States and moves are made when a text first
+a few token lengths are waiting, so that what waits is bounded. Pieces of up to a few token lengths, which are nearly all, need no
+states: the same rule finds their tokens by a search that goes on with the longest token and back where none fits. States and moves are made when a text first
 needs them (determinised lazily) and are dropped when their number passes a bound; so are the memorised pieces that were not asked for again.
 
 Decoding is a second machine: tokens to bytes, and an incremental UTF-8 automaton that gives out complete
@@ -53,6 +54,9 @@ ENTRY_BYTES = 100
 #: Pieces longer than this many bytes aren't memorised.
 LONG_PIECE = 64
 
+#: Bytes by which a search looks up how long the next token can be.
+HEAD = 4
+
 #: Remembered pairs of neighbouring tokens at most (some 100 bytes each); beyond, they are looked at anew.
 MAX_PAIRS = 300_000
 
@@ -73,8 +77,15 @@ class Transducer:
     def __init__(self, tokens: list[bytes]):
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.tokens = tokens
-        #: Bytes that may wait for certainty before it is looked for.
+        #: Bytes that may wait for certainty before it is looked for; shorter pieces are searched.
         self.lookahead = 4 * max(map(len, tokens), default=0)
+        #: The length of the longest token that begins with these HEAD bytes.
+        self.reach: dict[bytes, int] = {}
+        for t in tokens:
+            if len(t) > self.reach.get(t[:HEAD], HEAD - 1):
+                self.reach[t[:HEAD]] = len(t)
+        #: Stands for the token before a piece's first.
+        self.start = len(tokens)
         self.prefixes = {t[:k] for t in tokens for k in range(len(t) + 1)}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._pair: dict[int, bool] = {}
@@ -141,6 +152,13 @@ class Transducer:
             else:
                 limit, right = right + 1, b[0]
 
+    def fits(self, last: int, token: int) -> bool:
+        """Whether the token encodes to itself and follows the last one (``start``: any) in an encoding; remembered."""
+        if len(self._pair) >= MAX_PAIRS:
+            self._pair.clear()
+        ok = self._pair[last << 32 | token] = self.own(token) and (last == self.start or self.pair(last, token))
+        return ok
+
     def suffix(self, node: int, byte: int) -> tuple[int, int, list[tuple[int, int]]]:
         """The live suffix that follows another: its number, how many bytes go before it, and the tokens that may end there, longest first, with where they start.
 
@@ -167,9 +185,7 @@ class Transducer:
             if (before := last[start]) < 0:
                 break
             if (ok := pairs.get(before << 32 | token)) is None:
-                if len(pairs) >= MAX_PAIRS:
-                    pairs.clear()
-                ok = pairs[before << 32 | token] = self.pair(before, token)
+                ok = self.fits(before, token)
             if ok:
                 break
         else:
@@ -222,15 +238,33 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if len(piece) > self.lookahead:
             return [t for sure in self.emit(piece) for t in sure]
-        state, moves, last = 0, self.moves, [-1]
-        if len(moves) >= MAX_MOVES:
-            self.reset()
-            moves = self.moves
-        get, put = moves.get, last.append
-        for byte in piece:
-            state, token = get(state << 8 | byte) or self.move(state, byte)
-            put(token)
-        return self.path(last, len(last) - 1)
+        return self.search(piece)
+
+    def search(self, piece: bytes) -> list[int]:
+        """The piece's tokens by the same local rule without states: on with the longest token that goes with the last one, back
+        where none does. What goes together so far is the one encoding of its bytes, so no place is come to twice."""
+        rank, pairs, reach, n = self.rank.get, self._pair.get, self.reach.get, len(piece)
+        found, last, at, end = [], self.start, 0, reach(piece[:HEAD], HEAD - 1)
+        while at < n:
+            if end > n:
+                end = n
+            while end > at:
+                if (token := rank(piece[at:end])) is not None:
+                    if (ok := pairs(last << 32 | token)) is None:
+                        ok = self.fits(last, token)
+                    if ok:
+                        break
+                end -= 1
+            else:
+                if not found:
+                    raise ValueError("the ranks lack a single byte")
+                end = at - 1
+                at -= len(self.tokens[found.pop()])
+                last = found[-1] if found else self.start
+                continue
+            found.append(token)
+            last, at, end = token, end, end + reach(piece[end : end + HEAD], HEAD - 1)
+        return found
 
 
 #: Fixed value: the pattern whose pieces hold a space only as their first character, unless white space follows it.
