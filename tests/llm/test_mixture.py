@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from urlweave.llm import common
 from urlweave.llm import mixture as M
 
 SF = "/root/testdata/sf0.01"
@@ -136,3 +137,23 @@ def test_clashing_names(spark):
     got = M.mix_documents(docs)
     assert got.columns == docs.columns
     assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in docs.collect()} and got.count()
+
+
+def test_texts_are_cut_by_a_small_plan(spark):
+    docs = spark.createDataFrame([(k, f"s{k % 3}", "a b c " * (k + 1)) for k in range(20)], "doc_id bigint, source string, text string")
+    plan = M.mix_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") <= 4
+
+
+def test_staging_relieves_a_full_driver(spark, monkeypatch):
+    def collections():
+        return sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    monkeypatch.setattr(common, "HEAP_SHARE", 0)
+    before = collections()
+    assert common.stage(spark.range(3), "three").count() == 3
+    assert collections() > before
+    monkeypatch.setattr(common, "HEAP_SHARE", 1)
+    before = collections()
+    assert common.stage(spark.range(3), "three").count() == 3
+    assert collections() == before

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-__all__ = ["SPACE", "WORD", "crc_mod", "fresh", "lean", "lower_ascii", "pieces", "quoted", "scratch_dir", "ship", "stage", "table", "with_arrow"]
+__all__ = ["SPACE", "WORD", "crc_mod", "fresh", "lean", "lower_ascii", "pieces", "quoted", "relieve", "scratch_dir", "ship", "stage", "table", "with_arrow"]
 
 #: The white space of the contracts, as a regular expression class, and its complement.
 SPACE = r"[\x20\x09-\x0D]"
@@ -24,6 +24,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOCAL_SCRATCH = "/tmp/checkpoints/urlweave"
 
 
+#: Of the driver's largest heap: what it may take before a staged table makes it give back what it doesn't use.
+HEAP_SHARE = 0.5
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``.
 
@@ -51,11 +55,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def relieve(spark: SparkSession) -> None:
+    """The driver's JVM gives back what planning ended jobs took, if its heap has grown past HEAP_SHARE of its limit.
+
+    A chain of staged jobs leaves little alive but lets the heap grow to its limit.
+    """
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        runtime.gc()
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
+    relieve(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

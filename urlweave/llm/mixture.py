@@ -178,7 +178,8 @@ class Mix:
 
     def slots(self) -> DataFrame:
         """A row for each slot of the mix: shard, source_at, epoch, block."""
-        each = spread(self.numbered().join(self.sources.select("source_at", "blocks"), "source_at"), F.col("n"), "k").withColumn("j", F.col("j0") + F.col("k"))
+        # Staged, as the parts are: the driver plans again after each exchange, at a cost that grows with the whole plan.
+        each = spread(stage(self.numbered(), "mix_stretches").join(self.sources.select("source_at", "blocks"), "source_at"), F.col("n"), "k").withColumn("j", F.col("j0") + F.col("k"))
         epoch = F.expr("j div blocks")
         block = permuted(F.expr("j % blocks"), F.col("blocks"), self.seed, F.col("source_at"), epoch)
         return each.select("shard", "source_at", epoch.alias("epoch"), block.alias("block"))
@@ -207,7 +208,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "mix_docs")
     mix = Mix(numbered, seed, F.col(row))
     times = mix.mixed().select(F.explode("segments").alias("s")).groupBy("s.rid", "s.first_word", "s.words").agg(F.count("*").alias("times"))
-    parts = times.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("first_word", "words", "times"))).alias(parts_at))
+    parts = stage(times.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("first_word", "words", "times"))).alias(parts_at)), "mix_parts")
     copies = numbered.join(parts.withColumnRenamed("rid", row), row).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max(F.col(f"{parts_at}.times")))))
     copies = copies.withColumn(parts_at, F.filter(parts_at, lambda p: p["times"] >= F.col(copy)))
     spaced = F.regexp_extract_all("text", F.lit(f"{SPACE}*{WORD}"), F.lit(0))
