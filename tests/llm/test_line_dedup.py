@@ -181,3 +181,35 @@ def test_short_runs_stay(spark):
     docs = [(k, "\n".join([" ".join(word() for _ in range(40)), lines[k % 3], " ".join(word() for _ in range(40))])) for k in range(30)]
     got = L.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert {(x["doc_id"], x["text"]) for x in got} == set(docs)
+
+
+def test_texts_are_cut_once_and_shuffled_whole(spark, monkeypatch):
+    """The line table cuts each text once; fingerprints are made of documents dealt out before they fall into rows."""
+    plans = {}
+
+    def stage(df, tag, real=L.stage):
+        plans[tag] = df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+        return real(df, tag)
+
+    monkeypatch.setattr(L, "stage", stage)
+    line = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    docs = [(1, line("a")), (2, f"{line('b')}\n{line('a')}"), (3, " \n")]
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {1: line("a"), 2: line("b"), 3: " \n"}
+    assert plans["lines"][0].count(L.CUT) == 1
+    rows, _, whole = plans["grams"][1].partition("posexplode")
+    assert "Exchange" in whole and "Exchange" not in rows
+
+
+def test_fingerprints_are_told_once(spark):
+    """One row for each fingerprint and place, with the last place before it, though many windows select one gram."""
+    r = random.Random(4)
+    line = lambda n: " ".join("".join(r.choice("ab") for _ in range(3)) for _ in range(n))
+    own = [line(n) for n in (1, 2, 3, 13, 26)]
+    docs = spark.createDataFrame([(k, "\n".join(r.choice(own) for _ in range(80))) for k in range(5)], "doc_id bigint, text string")
+    rows = [tuple(x) for x in L.selected_grams(L.line_table(docs)).select("doc_id", "gram", "at", "before").collect()]
+    assert len({x[:3] for x in rows}) == len(rows) > 400
+    last = {}
+    for i, gram, at, before in sorted(rows, key=lambda x: x[:3]):
+        assert before == last.get((i, gram))
+        last[i, gram] = at

@@ -95,29 +95,34 @@ def without(lines: Column, gone: Column) -> Column:
 def line_table(docs: DataFrame) -> DataFrame:
     """A staged row for each document: doc_id, text_hash and the arrays h, w, line (place) of its units with words."""
     told = docs.where("text is not null").select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), _worded(F.split("text", "\n")).alias("l"))
-    arrays = told.where(F.size("l") > 0).select("doc_id", "text_hash", *(F.col(f"l.{c}").alias(c) for c in ("h", "w", "line")))
+    # No condition on l here: it would pass below and cut every text once more.
+    arrays = told.select("doc_id", "text_hash", *(F.col(f"l.{c}").alias(c) for c in ("h", "w", "line")))
     # Equal (id, text hash) are one document: the first stands for all.
     return stage(arrays.groupBy("doc_id", "text_hash").agg(*(F.first(c).alias(c) for c in ("h", "w", "line"))), "lines")
 
 
 def selected_grams(lines: DataFrame) -> DataFrame:
     """The fingerprints: doc_id, text_hash, at (index among the units with words), gram (or a whole window's hash), and the document's last place of it before, if any."""
-    each = lines.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("h", "w")).alias("at", "l")).select("doc_id", "text_hash", "at", "l.*")
+    # Documents are dealt out before they fall into rows, so nothing below is shuffled.
+    dealt = lines.select("doc_id", "text_hash", "h", "w").repartition("doc_id", "text_hash")
+    each = dealt.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("h", "w")).alias("at", "l")).select("doc_id", "text_hash", "at", "l.*")
     doc = Window.partitionBy("doc_id", "text_hash")
     begin = F.coalesce(F.sum("w").over(doc.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     each = each.withColumn("begin", begin.cast("bigint"))
     # By words: the units that begin less than so many words after this one, and so reach that many unless the text ends.
     of_gram = doc.orderBy("begin").rangeBetween(0, GRAM_WORDS - 1)
     of_run = doc.orderBy("begin").rangeBetween(0, RUN_WORDS - 1)
-    each = each.withColumn("gram", F.xxhash64(F.collect_list("h").over(of_gram))).withColumn("gram_end", F.max(F.col("begin") + F.col("w")).over(of_gram))
+    end = F.max(F.col("begin") + F.col("w"))
+    each = each.withColumns({"gram": F.xxhash64(F.collect_list("h").over(of_gram)), "gram_end": end.over(of_gram)})
     full = F.when(F.col("gram_end") - F.col("begin") >= GRAM_WORDS, F.struct("gram", (-F.col("at")).alias("back"), "gram_end"))
-    each = each.withColumn("grams", F.collect_list(full).over(of_run)).withColumn("run", F.xxhash64(F.collect_list("h").over(of_run))).withColumn("run_end", F.max(F.col("begin") + F.col("w")).over(of_run))
+    each = each.withColumns({"grams": F.collect_list(full).over(of_run), "run": F.xxhash64(F.collect_list("h").over(of_run)), "run_end": end.over(of_run)})
     window = each.where(F.col("run_end") - F.col("begin") >= RUN_WORDS)
     least = F.array_min(F.filter("grams", lambda g: g["gram_end"] <= F.col("run_end")))
     both = F.array(F.struct((-F.col("g.back")).alias("at"), F.col("g.gram").alias("gram")), F.struct("at", F.col("run").alias("gram")))
     chosen = window.withColumn("g", least).select("doc_id", "text_hash", F.inline(both))
     again = Window.partitionBy("doc_id", "text_hash", "gram").orderBy("at")
-    return chosen.distinct().withColumn("before", F.lag("at").over(again))
+    # What several windows select follows itself.
+    return chosen.withColumn("before", F.lag("at").over(again)).where("before is null or before < at")
 
 
 def _spot(gram: Column) -> Column:
